@@ -17,10 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitflow.sources.tables import write_table
+
 DEFAULT_LIMIT = 1_000_000
 KEY, LANE = "__key", "__lane"
 LANE_COLUMNS = (KEY, LANE)
 
+# A heavy day is cut finer than its size asks for, so that uneven tiebreaks still give lanes below the limit.
+_CUTS_PER_LIMIT = 16
 _WHOLE_ENTITY = -(1 << 62)
 _NO_LANE = _WHOLE_ENTITY + 2
 _UNDATED = 1 << 30
@@ -89,7 +93,7 @@ def plan_lanes(
     """
     hot = events.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(key)
     low, high = F.min(tiebreak), F.max(tiebreak)
-    width = (high - low).cast("double") / F.ceil(F.count(F.lit(1)) / F.lit(limit)) + F.lit(1.0)
+    width = (high - low).cast("double") / F.ceil(F.count(F.lit(1)) / F.lit(limit / _CUTS_PER_LIMIT)) + F.lit(1.0)
     lanes = Lanes(key, date, tiebreak, hot, hot)
     hot_days = (
         lanes.only_hot(events.select(key, date, tiebreak))
@@ -101,34 +105,53 @@ def plan_lanes(
     return Lanes(key, date, tiebreak, hot, hot_days)
 
 
+def stage_lanes(lanes: Lanes, folder: str) -> Lanes:
+    """Write the two small tables once, so that later jobs read them instead of counting the events again."""
+    return Lanes(
+        lanes.key, lanes.date, lanes.tiebreak,
+        write_table(lanes.hot, f"{folder}/hot"), write_table(lanes.hot_days, f"{folder}/hot_days"),
+    )
+
+
 def without_lanes(df: DataFrame) -> DataFrame:
     return df.drop(*LANE_COLUMNS)
 
 
+def _single(dim: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
+    """One payload per key; a dimension with several rows for a key is an error, not a silent fan-out."""
+    payload = F.struct(F.lit(1).alias("__found"), *[F.col(c) for c in columns])
+    found = dim.groupBy(*keys).agg(F.first(payload).alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    if not columns:
+        return found.select(*keys, F.col("__first").alias(name))
+    message = F.lit("dimension has more than one row for a key")
+    return found.select(
+        *keys, F.when(F.col("__rows") == 1, F.col("__first")).otherwise(F.raise_error(message)).alias(name)
+    )
+
+
 def attach(df: DataFrame, dim: DataFrame, lanes: Lanes, columns: list[str], how: str = "left") -> DataFrame:
     """Join a per-entity dimension of any size to events; keys match null-safe.
 
     ``how`` is ``left``, ``inner`` or ``semi``. Light entities meet the dimension in a join on the lane columns, which
-    the windows that follow reuse. The few dimension rows of heavy entities are broadcast instead, so the events of a
-    heavy entity stay spread over their lanes. ``dim`` is expected to have one row per key.
+    the windows that follow reuse. The dimension rows of heavy entities, one for each, are broadcast instead, so the
+    events of a heavy entity stay spread over their lanes. ``dim`` must have one row per key, except for ``semi``.
     """
     key = lanes.key
-    had_lanes = LANE in df.columns
     laned = lanes.assign(df)
-    if how == "semi":
-        dim, columns = dim.select(key).distinct(), []
-    payload = F.struct(F.lit(1).alias("__found"), *[F.col(c) for c in columns])
-    by_lane = lanes._with_hot_flag(dim).select(
+    columns = [] if how == "semi" else columns
+    keyed = lanes._with_hot_flag(dim).select(
         lanes._plain_key(dim).alias("__dim_key"),
         (F.when(F.col("__hot"), F.lit(_NO_LANE)).otherwise(F.lit(_WHOLE_ENTITY)) + lanes._void(dim)).alias("__dim_lane"),
-        payload.alias("__light"),
+        *columns,
     )
-    heavy = lanes.only_hot(dim).select(F.col(key).alias("__heavy_key"), payload.alias("__heavy"))
+    light = _single(keyed, ["__dim_key", "__dim_lane"], columns, "__light")
+    heavy_rows = lanes.only_hot(dim).withColumnRenamed(key, "__heavy_key")
+    heavy = _single(heavy_rows, ["__heavy_key"], columns, "__heavy")
     joined = laned.join(
-        by_lane, (F.col(KEY) == F.col("__dim_key")) & (F.col(LANE) == F.col("__dim_lane")), "left"
+        light, (F.col(KEY) == F.col("__dim_key")) & (F.col(LANE) == F.col("__dim_lane")), "left"
     ).join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("__heavy_key")), "left")
     found = F.coalesce("__light", "__heavy")
     if how != "left":
         joined = joined.where(found.isNotNull())
-    kept = laned.columns if had_lanes else df.columns
+    kept = laned.columns if LANE in df.columns else df.columns
     return joined.select(*kept, *[found[c].alias(c) for c in columns])

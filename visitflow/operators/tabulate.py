@@ -16,6 +16,7 @@ from visitflow.params import NA_TEXT
 
 NA_COLUMN = "na_"
 TOTAL = "Sum"
+WEIGHT = "__n"
 
 
 def slug(level: object) -> str:
@@ -23,15 +24,40 @@ def slug(level: object) -> str:
     return str(level).strip().lower().replace(" ", "_")
 
 
+def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Events counted by all category columns that a set of tables uses.
+
+    The tables below accept cells in place of events, so one pass over the events serves all of them.
+    """
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
+def n_events(df: DataFrame) -> Column:
+    return F.sum(WEIGHT) if WEIGHT in df.columns else F.count(F.lit(1))
+
+
+def n_events_if(df: DataFrame, condition: Column) -> Column:
+    if WEIGHT in df.columns:
+        return F.coalesce(F.sum(F.when(condition, F.col(WEIGHT))), F.lit(0).cast("bigint"))
+    return F.count_if(condition)
+
+
+def mean_over_events(df: DataFrame, column: str) -> Column:
+    """Mean of the known values."""
+    if WEIGHT in df.columns:
+        return share(F.sum(F.col(column) * F.col(WEIGHT)), n_events_if(df, F.col(column).isNotNull()))
+    return F.avg(column)
+
+
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return df.groupBy(*keys).agg(n_events(df).alias(name))
 
 
-def level_counts(column: str, levels: Sequence, with_na: bool = False) -> dict[str, Column]:
+def level_counts(df: DataFrame, column: str, levels: Sequence, with_na: bool = False) -> dict[str, Column]:
     """One count per level as aggregate columns: a pivot in a single aggregation, absent cells 0."""
-    counts = {slug(level): F.count_if(F.col(column) == F.lit(level)) for level in levels}
+    counts = {slug(level): n_events_if(df, F.col(column) == F.lit(level)) for level in levels}
     if with_na:
-        counts[NA_COLUMN] = F.count_if(F.col(column).isNull())
+        counts[NA_COLUMN] = n_events_if(df, F.col(column).isNull())
     return counts
 
 
@@ -47,7 +73,7 @@ def tabulate(
 
     With ``row_levels`` a level without events still gets its row of zeros.
     """
-    counts = level_counts(column, levels, with_na)
+    counts = level_counts(df, column, levels, with_na)
     table = df.groupBy(row).agg(*[c.alias(name) for name, c in counts.items()])
     if row_levels is None:
         return table
@@ -144,7 +170,7 @@ def spread(table: DataFrame, ids: Sequence[str], key: str, value: str, levels: S
 
 def spread_counts(df: DataFrame, ids: Sequence[str], key: str, levels: Sequence) -> DataFrame:
     """Counts by id and level, wide, straight from the events; absent cells are NULL."""
-    counts = level_counts(key, levels)
+    counts = level_counts(df, key, levels)
     return df.groupBy(*ids).agg(*[F.nullif(c, F.lit(0)).alias(name) for name, c in counts.items()])
 
 
@@ -196,10 +222,11 @@ def summary_table(df: DataFrame, variables: Sequence[str], stratum: str, strata:
         F.struct(F.lit(v).alias("variable"), F.coalesce(F.col(v).cast("string"), F.lit(NA_TEXT)).alias("level"))
         for v in variables
     ])).alias("__pair")
+    carried = [stratum, WEIGHT] if WEIGHT in df.columns else [stratum]
     counts = (
-        df.select(stratum, pairs)
+        df.select(*carried, pairs)
         .groupBy(F.col("__pair.variable").alias("variable"), F.col("__pair.level").alias("level"))
-        .agg(*[F.count_if(F.col(stratum) == s).alias(s) for s in strata])
+        .agg(*[n_events_if(df, F.col(stratum) == s).alias(s) for s in strata])
     )
     long = counts.unpivot(["variable", "level"], list(strata), stratum, "n")
     whole = F.sum("n").over(Window.partitionBy("variable", stratum))

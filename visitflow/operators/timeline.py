@@ -11,24 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitflow.operators.tabulate import n_events_if
 
-def _weekly(week: str, n_weeks: int, running: bool) -> list[Column]:
+
+def _weekly(df: DataFrame, week: str, n_weeks: int, running: bool) -> list[Column]:
     test = (lambda i: F.col(week) <= i) if running else (lambda i: F.col(week) == i)
-    return [F.count_if(test(i)) for i in range(1, n_weeks + 1)]
+    return [n_events_if(df, test(i)) for i in range(1, n_weeks + 1)]
 
 
 def week_grid(
     df: DataFrame, ids: Sequence[str], week: str, n_weeks: int, value: str = "n", running: bool = False
 ) -> DataFrame:
     """Long ``ids x week`` counts (or running totals) with every week of ``1..n_weeks``."""
-    weekly = df.groupBy(*ids).agg(F.array(*_weekly(week, n_weeks, running)).alias("__weeks"))
+    weekly = df.groupBy(*ids).agg(F.array(*_weekly(df, week, n_weeks, running)).alias("__weeks"))
     exploded = weekly.select(*ids, F.posexplode("__weeks").alias("__at", value))
     return exploded.select(*ids, (F.col("__at") + F.lit(1)).alias(week), value)
 
 
 def week_matrix(df: DataFrame, ids: Sequence[str], week: str, n_weeks: int, running: bool = False) -> DataFrame:
     """Wide form: one column ``w1..wN`` per week."""
-    columns = _weekly(week, n_weeks, running)
+    columns = _weekly(df, week, n_weeks, running)
     return df.groupBy(*ids).agg(*[c.alias(f"w{i}") for i, c in enumerate(columns, 1)])
 
 

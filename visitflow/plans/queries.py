@@ -313,7 +313,7 @@ def _(i):
             F.struct(F.lit("after").alias("stage"), F.col("discharged").alias("discharged")),
         )).alias("flag"),
     )
-    counts = T.level_counts("lead_firstatt", (1, 2, 3, 4, 5), with_na=True)
+    counts = T.level_counts(counted, "lead_firstatt", (1, 2, 3, 4, 5), with_na=True)
     return counted.groupBy("flag.stage", "flag.discharged").agg(*[
         n.alias(name if name == T.NA_COLUMN else f"next_{name}") for name, n in counts.items()
     ])

@@ -134,7 +134,7 @@ def count_by_week(cohort: DataFrame) -> DataFrame:
 def missed_gap_means(with_gap: DataFrame) -> DataFrame:
     """Mean weeks to the next event (known ones only) next to the number of all missed events."""
     return missed(with_gap).groupBy(TYPE, STATUS, KIND).agg(
-        F.avg("cancel_dna_interval").alias("mean"), F.count(F.lit(1)).alias("n")
+        T.mean_over_events(with_gap, "cancel_dna_interval").alias("mean"), T.n_events(with_gap).alias("n")
     )
 
 

@@ -30,7 +30,7 @@ APPOINTMENT_RULES = {
                 "WHEN l_quantity <= 48 THEN '130' END",
     "firstatt": "CASE l_linenumber WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '4' WHEN 4 THEN '2' WHEN 5 THEN '3' "
                 "WHEN 6 THEN '5' ELSE CASE WHEN l_partkey % 2 = 0 THEN 'X' ELSE '9' END END",
-    "attended": "CASE CAST(round(l_tax * 100) AS INT) WHEN 0 THEN 9 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 3 THEN 5 "
+    "attended": "CASE CAST(floor(l_tax * 100 + 0.5) AS INT) WHEN 0 THEN 9 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 3 THEN 5 "
                 "WHEN 4 THEN 6 WHEN 5 THEN 2 WHEN 6 THEN 4 WHEN 7 THEN 3 ELSE 7 END",
     "outcome": "CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 9 WHEN l_linestatus = 'F' THEN 2 "
                "ELSE 3 END",
@@ -50,6 +50,14 @@ TYPE_RULES = {
     "diabetes_type": "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'type1' WHEN 'BUILDING' THEN 'type2' "
                      "WHEN 'FURNITURE' THEN 'type2' ELSE 'unspecified' END",
 }
+TABLE_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
 SPECIALTY_NAMES = {"307": "Diabetic Medicine", "300": "General Medicine"}
 
 
@@ -58,7 +66,7 @@ def _project(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
