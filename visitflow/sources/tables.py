@@ -10,28 +10,23 @@ from pyspark.sql import types as T
 from visitflow.params import NA_TEXT
 
 
-def _schema(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in fields.items()))
+APPOINTMENTS = """
+    patid bigint, attendkey bigint, apptdate date, tretspef string, mainspef string, firstatt string, attended int,
+    outcome int, admincat int, atentype int, priority int, refsourc int, servtype int, stafftyp int, apptage int,
+    dnadate date, reqdate date, wait_ind int, waiting int, hes_yr int, ethnos string
+"""
+PATIENTS = "patid bigint, ons_dod date"
+PATIENT_TYPES = "patid bigint, diabetes_type string"
+SPECIALTIES = "tretspef string, tretspef_name string"
 
 
-APPOINTMENTS = _schema(
-    patid="bigint", attendkey="bigint", apptdate="date", tretspef="string", mainspef="string", firstatt="string",
-    attended="int", outcome="int", admincat="int", atentype="int", priority="int", refsourc="int", servtype="int",
-    stafftyp="int", apptage="int", dnadate="date", reqdate="date", wait_ind="int", waiting="int", hes_yr="int",
-    ethnos="string",
-)
-PATIENTS = _schema(patid="bigint", ons_dod="date")
-PATIENT_TYPES = _schema(patid="bigint", diabetes_type="string")
-SPECIALTIES = _schema(tretspef="string", tretspef_name="string")
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet table; with a declared schema Spark reads no footer to infer one and prunes to these columns."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
 
-def read_code_lookup(spark: SparkSession, path: str, schema: T.StructType = SPECIALTIES) -> DataFrame:
+def read_code_lookup(spark: SparkSession, path: str, schema: T.StructType | str = SPECIALTIES) -> DataFrame:
     """Code lookup CSV with a header; the code stays text, so leading zeros survive."""
     return spark.read.csv(path, schema=schema, header=True, nullValue=NA_TEXT)
 
