@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,41 +43,40 @@ class Lanes:
     hot: DataFrame
     hot_days: DataFrame
 
-    def _void(self, df: DataFrame) -> Column:
-        return F.isnull(F.col(self.key)).cast("bigint")
+    def plain_key(self, df: DataFrame) -> str:
+        """SQL text of the key with a blank for NULL."""
+        blank = "''" if isinstance(df.schema[self.key].dataType, T.StringType) else "0"
+        return f"coalesce({self.key}, {blank})"
 
-    def _plain_key(self, df: DataFrame) -> Column:
-        blank = "" if isinstance(df.schema[self.key].dataType, T.StringType) else 0
-        return F.coalesce(F.col(self.key), F.lit(blank).cast(df.schema[self.key].dataType))
+    def with_hot_flag(self, df: DataFrame) -> DataFrame:
+        hot = self.hot.selectExpr(f"{self.key} AS __hot_key", "true AS __hot")
+        return df.join(F.broadcast(hot), F.expr(f"{self.key} <=> __hot_key"), "left")
 
-    def _with_hot_flag(self, df: DataFrame) -> DataFrame:
-        hot = self.hot.select(F.col(self.key).alias("__hot_key"), F.lit(True).alias("__hot"))
-        return df.join(F.broadcast(hot), F.col(self.key).eqNullSafe(F.col("__hot_key")), "left").drop("__hot_key")
+    def only_hot(self, df: DataFrame) -> DataFrame:
+        hot = self.hot.selectExpr(f"{self.key} AS __hot_key")
+        return df.join(F.broadcast(hot), F.expr(f"{self.key} <=> __hot_key"), "left_semi")
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add the lane columns; a frame that already has them is returned as it is."""
         if LANE in df.columns:
             return df
-        days = self.hot_days.select(
-            F.col(self.key).alias("__day_key"), F.col(self.date).alias("__day"), "__low", "__width"
-        )
-        marked = self._with_hot_flag(df).join(
-            F.broadcast(days),
-            F.col(self.key).eqNullSafe(F.col("__day_key")) & F.col(self.date).eqNullSafe(F.col("__day")),
-            "left",
+        days = self.hot_days.selectExpr(f"{self.key} AS __day_key", f"{self.date} AS __day", "__low", "__width")
+        marked = self.with_hot_flag(df).join(
+            F.broadcast(days), F.expr(f"{self.key} <=> __day_key AND {self.date} <=> __day"), "left"
         )
-        day = F.coalesce(F.unix_date(F.col(self.date)), F.lit(_UNDATED)).cast("bigint")
-        block = F.coalesce(F.floor((F.col(self.tiebreak) - F.col("__low")) / F.col("__width")), F.lit(0))
-        lane = F.when(F.col("__hot"), F.shiftleft(day, 32) + F.shiftleft(block.cast("bigint"), 1))
-        return marked.select(
+        day = f"CAST(coalesce(unix_date({self.date}), {_UNDATED}) AS bigint)"
+        block = f"CAST(coalesce(floor(({self.tiebreak} - __low) / __width), 0) AS bigint)"
+        return marked.selectExpr(
             *df.columns,
-            self._plain_key(df).alias(KEY),
-            (lane.otherwise(F.lit(_WHOLE_ENTITY)) + self._void(df)).alias(LANE),
+            f"{self.plain_key(df)} AS {KEY}",
+            f"CASE WHEN __hot THEN shiftleft({day}, 32) + shiftleft({block}, 1) ELSE {_WHOLE_ENTITY}L END"
+            f" + {_void(self.key)} AS {LANE}",
         )
 
-    def only_hot(self, df: DataFrame) -> DataFrame:
-        hot = self.hot.select(F.col(self.key).alias("__hot_key"))
-        return df.join(F.broadcast(hot), F.col(self.key).eqNullSafe(F.col("__hot_key")), "left_semi")
+
+def _void(key: str) -> str:
+    """Lowest bit of a lane: whether the key is NULL."""
+    return f"CAST({key} IS NULL AS bigint)"
 
 
 def plan_lanes(
@@ -91,15 +90,14 @@ def plan_lanes(
 
     ``tiebreak`` must be numeric; a heavy day is cut into equal ranges of it.
     """
-    hot = events.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(key)
-    low, high = F.min(tiebreak), F.max(tiebreak)
-    width = (high - low).cast("double") / F.ceil(F.count(F.lit(1)) / F.lit(limit / _CUTS_PER_LIMIT)) + F.lit(1.0)
+    hot = events.groupBy(key).agg(F.expr("count(*) AS __n")).where(f"__n > {limit}").select(key)
     lanes = Lanes(key, date, tiebreak, hot, hot)
+    width = f"(max({tiebreak}) - min({tiebreak})) / ceil(count(*) * {_CUTS_PER_LIMIT} / {limit}) + 1D"
     hot_days = (
         lanes.only_hot(events.select(key, date, tiebreak))
         .groupBy(key, date)
-        .agg(F.count(F.lit(1)).alias("__n"), low.alias("__low"), width.alias("__width"))
-        .where(F.col("__n") > limit)
+        .agg(F.expr("count(*) AS __n"), F.expr(f"min({tiebreak}) AS __low"), F.expr(f"{width} AS __width"))
+        .where(f"__n > {limit}")
         .select(key, date, "__low", "__width")
     )
     return Lanes(key, date, tiebreak, hot, hot_days)
@@ -119,14 +117,11 @@ def without_lanes(df: DataFrame) -> DataFrame:
 
 def _single(dim: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
     """One payload per key; a dimension with several rows for a key is an error, not a silent fan-out."""
-    payload = F.struct(F.lit(1).alias("__found"), *[F.col(c) for c in columns])
-    found = dim.groupBy(*keys).agg(F.first(payload).alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    if not columns:
-        return found.select(*keys, F.col("__first").alias(name))
-    message = F.lit("dimension has more than one row for a key")
-    return found.select(
-        *keys, F.when(F.col("__rows") == 1, F.col("__first")).otherwise(F.raise_error(message)).alias(name)
-    )
+    fields = ", ".join(["'__found', true", *[f"'{c}', {c}" for c in columns]])
+    first = f"first(named_struct({fields}))"
+    if columns:
+        first = f"CASE WHEN count(*) = 1 THEN {first} ELSE raise_error('dimension has more than one row for a key') END"
+    return dim.groupBy(*keys).agg(F.expr(f"{first} AS {name}"))
 
 
 def attach(df: DataFrame, dim: DataFrame, lanes: Lanes, columns: list[str], how: str = "left") -> DataFrame:
@@ -139,19 +134,17 @@ def attach(df: DataFrame, dim: DataFrame, lanes: Lanes, columns: list[str], how:
     key = lanes.key
     laned = lanes.assign(df)
     columns = [] if how == "semi" else columns
-    keyed = lanes._with_hot_flag(dim).select(
-        lanes._plain_key(dim).alias("__dim_key"),
-        (F.when(F.col("__hot"), F.lit(_NO_LANE)).otherwise(F.lit(_WHOLE_ENTITY)) + lanes._void(dim)).alias("__dim_lane"),
+    keyed = lanes.with_hot_flag(dim).selectExpr(
+        f"{lanes.plain_key(dim)} AS __dim_key",
+        f"if(__hot, {_NO_LANE}L, {_WHOLE_ENTITY}L) + {_void(key)} AS __dim_lane",
         *columns,
     )
     light = _single(keyed, ["__dim_key", "__dim_lane"], columns, "__light")
-    heavy_rows = lanes.only_hot(dim).withColumnRenamed(key, "__heavy_key")
-    heavy = _single(heavy_rows, ["__heavy_key"], columns, "__heavy")
-    joined = laned.join(
-        light, (F.col(KEY) == F.col("__dim_key")) & (F.col(LANE) == F.col("__dim_lane")), "left"
-    ).join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("__heavy_key")), "left")
-    found = F.coalesce("__light", "__heavy")
+    heavy = _single(lanes.only_hot(dim).withColumnRenamed(key, "__heavy_key"), ["__heavy_key"], columns, "__heavy")
+    joined = laned.join(light, F.expr(f"{KEY} = __dim_key AND {LANE} = __dim_lane"), "left").join(
+        F.broadcast(heavy), F.expr(f"{key} <=> __heavy_key"), "left"
+    )
     if how != "left":
-        joined = joined.where(found.isNotNull())
+        joined = joined.where("__light IS NOT NULL OR __heavy IS NOT NULL")
     kept = laned.columns if LANE in df.columns else df.columns
-    return joined.select(*kept, *[found[c].alias(c) for c in columns])
+    return joined.selectExpr(*kept, *[f"coalesce(__light, __heavy).{c} AS {c}" for c in columns])

@@ -12,14 +12,7 @@ from pyspark.sql import functions as F
 
 from visitflow.operators.lanes import KEY, LANE, LANE_COLUMNS, Lanes
 
-_VOID = "__void"
-
-
-def _same_lane(left_others: Sequence[str]) -> Column:
-    condition = (F.col(KEY) == F.col("__edge_key")) & (F.col(LANE) == F.col("__edge_lane"))
-    for i, name in enumerate(left_others):
-        condition = condition & F.col(name).eqNullSafe(F.col(f"__edge_by{i}"))
-    return condition
+_EVERYTHING = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
 class _Laned:
@@ -28,32 +21,39 @@ class _Laned:
     def __init__(self, df: DataFrame, lanes: Lanes, by: Sequence[str]):
         if lanes.key not in by:
             raise ValueError(f"'by' must contain the lane key {lanes.key!r}")
-        self.lanes, self.others = lanes, [c for c in by if c != lanes.key]
+        self.lanes, self.others, self.kept = lanes, [c for c in by if c != lanes.key], df.columns
         self.events = lanes.assign(df)
-        self.kept = list(df.columns)
         self.spread = self.events.repartition(*LANE_COLUMNS)
-        self.lane = Window.partitionBy(*LANE_COLUMNS, *self.others)
-        self.ordered = self.lane.orderBy(F.col(lanes.date).asc_nulls_last(), F.col(lanes.tiebreak).asc_nulls_last())
-        entity = Window.partitionBy(KEY, _VOID, *self.others)
-        self.entity, self.across = entity, entity.orderBy(LANE)
-
-    def summary(self, **parts: Column) -> DataFrame:
-        """One row per lane of the heavy entities: at most a row per calendar day plus one per ``limit`` rows."""
-        return (
+        keys = ", ".join([*LANE_COLUMNS, *self.others])
+        self.lane = f"PARTITION BY {keys}"
+        self.ordered = f"{self.lane} ORDER BY {lanes.date} ASC NULLS LAST, {lanes.tiebreak} ASC NULLS LAST"
+        self.entity = f"PARTITION BY {', '.join([KEY, f'{LANE} & 1', *self.others])}"
+        self.across = f"{self.entity} ORDER BY {LANE}"
+
+    def join_edges(self, local: Mapping[str, str], parts: Mapping[str, str], edges: Mapping[str, str]) -> DataFrame:
+        """Window expressions inside the lanes, with what a heavy entity needs from its other lanes joined on.
+
+        ``parts`` summarises the lanes of heavy entities, a row per calendar day plus one per share of ``limit`` rows
+        of a day, and ``edges`` are windows over those rows.
+        """
+        here = self.spread.selectExpr("*", *[f"{text} AS {name}" for name, text in local.items()])
+        summary = (
             self.lanes.only_hot(self.events)
             .groupBy(*LANE_COLUMNS, *self.others)
-            .agg(*[part.alias(name) for name, part in parts.items()])
-            .withColumn(_VOID, F.col(LANE).bitwiseAND(F.lit(1)))
+            .agg(*[F.expr(f"{text} AS {name}") for name, text in parts.items()])
         )
-
-    def join_edges(self, local: DataFrame, summary: DataFrame, **values: Column) -> DataFrame:
-        edges = summary.select(
-            F.col(KEY).alias("__edge_key"),
-            F.col(LANE).alias("__edge_lane"),
-            *[F.col(name).alias(f"__edge_by{i}") for i, name in enumerate(self.others)],
-            *[value.alias(name) for name, value in values.items()],
+        moved = summary.selectExpr(
+            f"{KEY} AS __edge_key", f"{LANE} AS __edge_lane",
+            *[f"{name} AS __edge_by{i}" for i, name in enumerate(self.others)],
+            *[f"{text} AS {name}" for name, text in edges.items()],
         )
-        return local.join(edges, _same_lane(self.others), "left")
+        same = [f"{KEY} = __edge_key AND {LANE} = __edge_lane"]
+        same += [f"{name} <=> __edge_by{i}" for i, name in enumerate(self.others)]
+        return here.join(moved, F.expr(" AND ".join(same)), "left")
+
+
+def _fields(sources: Mapping[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{new}', {source}" for new, source in sources.items()) + ")"
 
 
 def with_neighbours(
@@ -62,83 +62,68 @@ def with_neighbours(
     by: Sequence[str],
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
-    earliest: Mapping[str, Column] | None = None,
+    earliest: Mapping[str, str] | None = None,
     size: str | None = None,
 ) -> DataFrame:
     """Add values of neighbouring events of the same entity.
 
     ``previous`` / ``following`` map a new column to the column read from the event before / after. ``earliest`` maps a
-    new struct column ``(undated, date, tiebreak)`` to the condition whose first event it identifies; every row of the
-    entity gets it. ``size`` names a column with the number of events of the entity. One shuffle, one sort.
+    new struct column ``(undated, date, tiebreak)`` to the SQL condition whose first event it identifies; every row of
+    the entity gets it. ``size`` names a column with the number of events of the entity. One shuffle, one sort.
     """
-    previous, following, earliest = dict(previous or {}), dict(following or {}), dict(earliest or {})
     work = _Laned(df, lanes, by)
-    position = F.struct(
-        F.col(lanes.date).isNull().alias("undated"), F.col(lanes.date).alias("date"),
-        F.col(lanes.tiebreak).alias("tiebreak"),
-    )
-    firsts = {name: F.min(F.when(condition, position)) for name, condition in earliest.items()}
-
     local, parts, edges, final = {}, {}, {}, {}
     if previous:
-        read = F.struct(*[F.col(src).alias(new) for new, src in previous.items()])
-        local["__at_start"] = F.row_number().over(work.ordered) == 1
-        local |= {f"__lag_{new}": F.lag(src).over(work.ordered) for new, src in previous.items()}
-        parts["__tail"] = F.max_by(read, lanes.tiebreak)
-        edges["__before"] = F.lag("__tail").over(work.across)
-        final |= {
-            new: F.when(F.col("__at_start"), F.col("__before")[new]).otherwise(F.col(f"__lag_{new}"))
-            for new in previous
-        }
+        local["__at_start"] = f"row_number() OVER ({work.ordered}) = 1"
+        parts["__tail"] = f"max_by({_fields(previous)}, {lanes.tiebreak})"
+        edges["__before"] = f"lag(__tail) OVER ({work.across})"
+        for new, source in previous.items():
+            local[f"__lag_{new}"] = f"lag({source}) OVER ({work.ordered})"
+            final[new] = f"if(__at_start, __before.{new}, __lag_{new})"
     if following:
-        read = F.struct(*[F.col(src).alias(new) for new, src in following.items()])
-        local["__at_end"] = F.lead(F.lit(1)).over(work.ordered).isNull()
-        local |= {f"__lead_{new}": F.lead(src).over(work.ordered) for new, src in following.items()}
-        parts["__head"] = F.min_by(read, lanes.tiebreak)
-        edges["__after"] = F.lead("__head").over(work.across)
-        final |= {
-            new: F.when(F.col("__at_end"), F.col("__after")[new]).otherwise(F.col(f"__lead_{new}"))
-            for new in following
-        }
-    for name, first in firsts.items():
-        local[f"__own_{name}"] = first.over(work.lane)
+        local["__at_end"] = f"lead(1) OVER ({work.ordered}) IS NULL"
+        parts["__head"] = f"min_by({_fields(following)}, {lanes.tiebreak})"
+        edges["__after"] = f"lead(__head) OVER ({work.across})"
+        for new, source in following.items():
+            local[f"__lead_{new}"] = f"lead({source}) OVER ({work.ordered})"
+            final[new] = f"if(__at_end, __after.{new}, __lead_{new})"
+    position = _fields({
+        "undated": f"{lanes.date} IS NULL", "date": lanes.date, "tiebreak": lanes.tiebreak,
+    })
+    for name, condition in (earliest or {}).items():
+        first = f"min(CASE WHEN {condition} THEN {position} END)"
+        local[f"__own_{name}"] = f"{first} OVER ({work.lane})"
         parts[f"__first_{name}"] = first
-        edges[f"__all_{name}"] = F.min(f"__first_{name}").over(work.entity)
-        final[name] = F.coalesce(f"__all_{name}", f"__own_{name}")
+        edges[f"__all_{name}"] = f"min(__first_{name}) OVER ({work.entity})"
+        final[name] = f"coalesce(__all_{name}, __own_{name})"
     if size:
-        local["__own_size"] = F.count(F.lit(1)).over(work.lane)
-        parts["__lane_size"] = F.count(F.lit(1))
-        edges["__all_size"] = F.sum("__lane_size").over(work.entity)
-        final[size] = F.coalesce("__all_size", "__own_size")
-
-    here = work.spread.select("*", *[column.alias(name) for name, column in local.items()])
-    joined = work.join_edges(here, work.summary(**parts), **edges)
-    return joined.select(*work.kept, *[column.alias(name) for name, column in final.items()])
+        local["__own_size"] = f"count(*) OVER ({work.lane})"
+        parts["__lane_size"] = "count(*)"
+        edges["__all_size"] = f"sum(__lane_size) OVER ({work.entity})"
+        final[size] = "coalesce(__all_size, __own_size)"
+    joined = work.join_edges(local, parts, edges)
+    return joined.selectExpr(*work.kept, *[f"{text} AS `{name}`" for name, text in final.items()])
 
 
 def fill_up_down(df: DataFrame, lanes: Lanes, by: Sequence[str], column: str) -> DataFrame:
     """Fill NULLs of ``column`` within the entity from the next known value, else from the last known one."""
     work = _Laned(df, lanes, by)
-    known = F.col(column).isNotNull()
-    here = work.spread.select(
-        "*",
-        F.first(column, ignorenulls=True).over(work.ordered.rowsBetween(0, Window.unboundedFollowing)).alias("__next"),
-        F.last(column, ignorenulls=True)
-        .over(work.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__last"),
-    )
-    summary = work.summary(
-        __head=F.min_by(F.when(known, F.col(column)), F.when(known, F.col(lanes.tiebreak))),
-        __tail=F.max_by(F.when(known, F.col(column)), F.when(known, F.col(lanes.tiebreak))),
-    )
+    at = f"CASE WHEN {column} IS NOT NULL THEN {lanes.tiebreak} END"
     joined = work.join_edges(
-        here,
-        summary,
-        __later=F.first("__head", ignorenulls=True).over(work.across.rowsBetween(1, Window.unboundedFollowing)),
-        __final=F.last("__tail", ignorenulls=True)
-        .over(work.across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        local={
+            "__next": f"first_value({column}) IGNORE NULLS OVER "
+                      f"({work.ordered} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+            "__last": f"last_value({column}) IGNORE NULLS OVER ({work.ordered} {_EVERYTHING})",
+        },
+        parts={"__head": f"min_by({column}, {at})", "__tail": f"max_by({column}, {at})"},
+        edges={
+            "__later": f"first_value(__head) IGNORE NULLS OVER "
+                       f"({work.across} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)",
+            "__final": f"last_value(__tail) IGNORE NULLS OVER ({work.across} {_EVERYTHING})",
+        },
     )
-    filled = F.coalesce("__next", "__later", "__final", "__last")
-    return joined.select(*[filled.alias(column) if c == column else F.col(c) for c in work.kept])
+    filled = f"coalesce(__next, __later, __final, __last) AS {column}"
+    return joined.selectExpr(*[filled if c == column else c for c in work.kept])
 
 
 def is_event(found: Column, date: str, tiebreak: str) -> Column:

@@ -50,7 +50,7 @@ def derive_sequence(cleaned: DataFrame, params: P.StudyParams, lanes: Lanes) ->
         C.code_categories(cleaned), lanes, BY_SPECIALTY,
         previous={"__previous_date": "apptdate"},
         following={"__next_date": "apptdate", "lead_firstatt": "firstatt"},
-        earliest={"__index": F.col("apptdate") >= F.lit(params.study_start)},
+        earliest={"__index": f"apptdate >= DATE '{params.study_start}'"},
     )
     index = F.col("__index")
     out = with_gaps(out.withColumns(_neighbour_dates())).withColumns({
@@ -94,7 +94,7 @@ def clinic_cohort(
     """
     start = F.lit(params.sim_start)
     if exclude_discharged_patients:
-        ended = (F.col("outcome") == 1) & (F.col("apptdate") < start)
+        ended = f"outcome = 1 AND apptdate < DATE '{params.sim_start}'"
         study = with_neighbours(study, lanes, BY_PATIENT, earliest={"__ended": ended})
         study = study.where(F.col("__ended").isNull()).drop("__ended")
     return C.in_window(study, params.sim_start, params.sim_end).withColumn(
@@ -104,7 +104,7 @@ def clinic_cohort(
 
 def with_window_index(cohort: DataFrame, lanes: Lanes) -> DataFrame:
     """First event of each patient in the cohort: flag, date, and 1-based days since it."""
-    out = with_neighbours(cohort, lanes, BY_PATIENT, earliest={"__first": F.lit(True)})
+    out = with_neighbours(cohort, lanes, BY_PATIENT, earliest={"__first": "true"})
     first = F.col("__first")
     return out.withColumns({
         "flag_first_appt_sim": is_event(first, "apptdate", "attendkey").cast("int"),
