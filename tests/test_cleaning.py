@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from visitflow.operators import cleaning as C
 from visitflow.operators.lanes import attach, plan_lanes
+from visitflow.operators.sequence import top_1_per_group
 
 EVENTS = "patid bigint, attendkey bigint, apptdate date"
 
@@ -79,15 +80,22 @@ def test_large_lookup_is_not_broadcast(spark, monkeypatch):
     assert {r.tretspef_name for r in joined.collect()} == {"A", "B"}
 
 
-def test_copies_are_reduced_before_the_shuffle(spark):
+def test_copies_are_merged_before_the_shuffle(spark):
     df = spark.range(1000).select(
         (F.col("id") % 1).alias("patid"), F.col("id").alias("attendkey"),
-        F.when(F.col("id") < 0, 1).alias("outcome"),
+        F.when(F.col("id") < 0, 1).alias("outcome"), (F.col("id") * 2).alias("other"),
     )
     kept = C.dedupe_keep_first(df)
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
-    assert [r.attendkey for r in kept.collect()] == [0]
+    assert plan.count("HashAggregate") == 2 and "Sort" not in plan
+    assert [(r.attendkey, r.other) for r in kept.collect()] == [(0, 0)]
+
+
+def test_top_1_keeps_one_row_per_group_and_task_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id"))
+    kept = top_1_per_group(df, ["k"], [F.col("id").desc()])
+    assert kept._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert sorted(r.id for r in kept.collect()) == [997, 998, 999]
 
 
 def test_required_field_test_reaches_the_scan(spark, tmp_path):

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from visitflow import params as P
 from visitflow.functions.semantics import code_label, is_in, null_if_in
 from visitflow.operators.lanes import Lanes, attach
-from visitflow.operators.sequence import top_1_per_group
 
 MAX_BROADCAST_CODES = 100_000
 
@@ -71,8 +70,15 @@ def attended_only(df: DataFrame) -> DataFrame:
 
 
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str] = P.DEDUPE_KEYS, tiebreak: str = "attendkey") -> DataFrame:
-    """One whole row per key combination (NULL equals NULL): the one with the lowest tiebreak."""
-    return top_1_per_group(df, [k for k in keys if k in df.columns], [F.col(tiebreak).asc_nulls_last()])
+    """One whole row per key combination (NULL equals NULL): the one with the lowest, never NULL, tiebreak.
+
+    An aggregation, so copies are merged before the shuffle however many there are, and nothing is sorted as long as
+    the other columns are of fixed width.
+    """
+    keys = [k for k in keys if k in df.columns]
+    rest = [c for c in df.columns if c not in keys and c != tiebreak]
+    first = [F.expr(f"min({tiebreak}) AS {tiebreak}"), *[F.expr(f"min_by({c}, {tiebreak}) AS {c}") for c in rest]]
+    return df.groupBy(*keys).agg(*first).select(*df.columns)
 
 
 def in_population(df: DataFrame, patients: DataFrame, lanes: Lanes) -> DataFrame:

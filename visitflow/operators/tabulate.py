@@ -218,14 +218,11 @@ def summary_table(df: DataFrame, variables: Sequence[str], stratum: str, strata:
 
     A level that occurs in one stratum is listed with 0 in the others.
     """
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(v).alias("variable"), F.coalesce(F.col(v).cast("string"), F.lit(NA_TEXT)).alias("level"))
-        for v in variables
-    ])).alias("__pair")
+    pairs = ", ".join(f"'{v}', coalesce(CAST({v} AS string), '{NA_TEXT}')" for v in variables)
     carried = [stratum, WEIGHT] if WEIGHT in df.columns else [stratum]
     counts = (
-        df.select(*carried, pairs)
-        .groupBy(F.col("__pair.variable").alias("variable"), F.col("__pair.level").alias("level"))
+        df.selectExpr(*carried, f"stack({len(variables)}, {pairs}) AS (variable, level)")
+        .groupBy("variable", "level")
         .agg(*[n_events_if(df, F.col(stratum) == s).alias(s) for s in strata])
     )
     long = counts.unpivot(["variable", "level"], list(strata), stratum, "n")
