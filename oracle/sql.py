@@ -242,8 +242,11 @@ def _summary(source: str, variables: list[str], stratum: str) -> str:
         f"SELECT {stratum}, '{v}' AS variable, coalesce(CAST({v} AS VARCHAR), 'NA') AS level FROM {source}"
         for v in variables
     )
-    return f"""SELECT variable, level, {stratum}, n,
-        {_share('n * 100', f'sum(n) OVER (PARTITION BY variable, {stratum})')} AS percent
+    whole = f"sum(n) OVER (PARTITION BY variable, {stratum})"
+    steps = _steps("n * 100", whole, 1)
+    return f"""SELECT variable, level, {stratum}, n, {_share('n * 100', whole)} AS percent,
+        CAST(n AS VARCHAR) || ' (' || CAST({steps} // 10 AS VARCHAR) || '.' || CAST({steps} % 10 AS VARCHAR) || ')'
+            AS text
         FROM (SELECT l.variable, l.level, s.{stratum}, CAST(count(r.variable) AS BIGINT) AS n
               FROM (SELECT DISTINCT variable, level FROM rows_) l
               CROSS JOIN (VALUES ('type1'), ('type2')) AS s({stratum})
@@ -291,9 +294,27 @@ def _profile(source: str, dataset: str, columns: list[str]) -> str:
     )
 
 
-def _stage(step: int, name: str, condition: str) -> str:
+def _stage(step: int, name: str, source: str, condition: str = "true") -> str:
     return f"""SELECT {step} AS step, '{name}' AS stage, CAST(count(*) AS BIGINT) AS n_rows,
-        CAST(count(DISTINCT patid) AS BIGINT) AS n_entities FROM coded WHERE {condition}"""
+        CAST(count(DISTINCT patid) AS BIGINT) AS n_entities FROM {source} WHERE {condition}"""
+
+
+def _attrition() -> str:
+    known = "tretspef IS NOT NULL AND firstatt IS NOT NULL AND attended IS NOT NULL"
+    specialty, kind = "tretspef = '307'", "diabetes_type IN ('type1', 'type2')"
+    window = f"apptdate BETWEEN {_day(S.sim_start)} AND {_day(S.sim_end)}"
+    return _on(" UNION ALL ".join([
+        _stage(1, "loaded", "rec"),
+        _stage(2, "population", "rec", "patid IN (SELECT patid FROM patients)"),
+        _stage(3, "without_copies", "distinct_rec"),
+        _stage(4, "required_fields", "distinct_rec", known),
+        _stage(5, "before_death", "cleaned"),
+        _stage(6, "specialty", "cleaned", specialty),
+        _stage(7, "type", "cleaned", f"{specialty} AND {kind}"),
+        _stage(8, "study", "cleaned", f"{specialty} AND {kind} AND apptdate > {_day(S.study_start)}"),
+        _stage(9, "clinic", "cleaned", f"{specialty} AND {kind} AND {window}"),
+    ]), "cleaned", extra={
+        "distinct_rec": f"""SELECT DISTINCT {KEYS} FROM rec WHERE patid IN (SELECT patid FROM patients)"""})
 
 
 def _existing_index(cell: str = "{}") -> str:
@@ -446,13 +467,7 @@ def _tables() -> dict[str, str]:
             'checked', ['year', 'diabetes_type', 'firstatt_agg', 'outcome'])}""", "checked"),
         "null_profile": _on(_profile("raw", "raw", RAW_COLUMNS) + " UNION ALL "
                             + _profile("derived", "derived", DERIVED_COLUMNS), "raw", "derived"),
-        "cohort_attrition": _on(" UNION ALL ".join([
-            _stage(1, "cleaned", "true"), _stage(2, "specialty", "tretspef = '307'"),
-            _stage(3, "type", "tretspef = '307' AND diabetes_type IN ('type1', 'type2')"),
-            _stage(4, "study", f"""tretspef = '307' AND diabetes_type IN ('type1', 'type2')
-                AND apptdate > {_day(S.study_start)}"""),
-            _stage(5, "clinic", f"""tretspef = '307' AND diabetes_type IN ('type1', 'type2')
-                AND apptdate BETWEEN {_day(S.sim_start)} AND {_day(S.sim_end)}""")]), "coded"),
+        "cohort_attrition": _attrition(),
         "weekly_existing_index": _existing_index(),
         "suppress_small_cells": _existing_index(small),
         "patient_week_grid": _grid(False, "app_count"),

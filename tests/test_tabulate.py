@@ -97,6 +97,9 @@ def test_attrition_counts_rows_and_entities(events):
         "all": F.lit(True), "known": F.col("firstatt_agg").isNotNull(), "seen": F.col("attended_agg") == "Attended",
     }
     assert rows(Q.attrition(events, steps, "patid")) == [(1, "all", 6, 4), (2, "known", 5, 4), (3, "seen", 3, 3)]
+    twice = events.withColumn("copies", F.lit(2))
+    assert rows(Q.attrition(twice, steps, "patid", "copies", "known")) == [
+        (1, "all", 12, 4), (2, "known", 5, 4), (3, "seen", 3, 3)]
 
 
 def test_null_profile(events):

@@ -22,18 +22,21 @@ def distinct_with_null(column: str) -> Column:
     return F.count_distinct(F.col(column)) + F.coalesce(F.max(F.isnull(F.col(column)).cast("bigint")), F.lit(0))
 
 
-def attrition(df: DataFrame, steps: Mapping[str, Column], entity: str) -> DataFrame:
+def attrition(
+    df: DataFrame, steps: Mapping[str, Column], entity: str, copies: str | None = None, merged_at: str | None = None
+) -> DataFrame:
     """Rows and entities left after each step, the steps being conditions that narrow down one after the other.
 
-    A row reaches as many steps as it passes without a break. Rows are counted per entity before anything is
+    A row counts for a step if it passes this and all earlier ones. With ``copies`` a row stands for that many copies
+    until the step ``merged_at``, from which on it counts once. Rows are counted per entity before anything is
     shuffled, so all steps together cost one pass and one aggregation by entity.
     """
-    reached, passing, open_ = [], F.lit(True), F.lit(True)
-    for condition in steps.values():
-        passing = open_ & F.coalesce(condition, F.lit(False))
-        reached.append(passing)
-        open_ = passing
-    per_entity = df.groupBy(entity).agg(*[F.count_if(r).alias(f"__s{i}") for i, r in enumerate(reached)])
+    passing, weight, counted = F.lit(True), F.col(copies) if copies else F.lit(1), []
+    for name, condition in steps.items():
+        passing = passing & F.coalesce(condition, F.lit(False))
+        weight = F.lit(1) if name == merged_at else weight
+        counted.append(F.sum(F.when(passing, weight).otherwise(0)))
+    per_entity = df.groupBy(entity).agg(*[n.alias(f"__s{i}") for i, n in enumerate(counted)])
     totals = per_entity.agg(*[
         F.struct(
             F.lit(i + 1).alias("step"), F.lit(name).alias("stage"),

@@ -216,7 +216,7 @@ def transition_matrix_wide(long: DataFrame, groups: Sequence[str], source: str,
 def summary_table(df: DataFrame, variables: Sequence[str], stratum: str, strata: Sequence[str]) -> DataFrame:
     """Counts and percentages of every level of every variable per stratum, in one pass; NULL is a level.
 
-    A level that occurs in one stratum is listed with 0 in the others.
+    A level that occurs in one stratum is listed with 0 in the others. ``text`` is the printed cell, ``45 (12.3)``.
     """
     pairs = ", ".join(f"'{v}', coalesce(CAST({v} AS string), '{NA_TEXT}')" for v in variables)
     carried = [stratum, WEIGHT] if WEIGHT in df.columns else [stratum]
@@ -227,7 +227,9 @@ def summary_table(df: DataFrame, variables: Sequence[str], stratum: str, strata:
     )
     long = counts.unpivot(["variable", "level"], list(strata), stratum, "n")
     whole = F.sum("n").over(Window.partitionBy("variable", stratum))
-    return long.withColumn("percent", share(F.col("n") * F.lit(100), whole))
+    percent = share(F.col("n") * F.lit(100), whole)
+    shown = F.format_string("%d (%.1f)", F.col("n"), F.bround("percent", 1))
+    return long.withColumn("percent", percent).withColumn("text", shown)
 
 
 def summary_detail(summary: DataFrame, stratum: str) -> DataFrame:

@@ -8,13 +8,43 @@ from pyspark.sql import functions as F
 from visitflow import params as P
 from visitflow.functions.semantics import band, calendar_week, days_between, if_known, is_in, relative_week, weeks_up
 from visitflow.operators import cleaning as C
-from visitflow.operators.lanes import Lanes
+from visitflow.operators import quality as Q
+from visitflow.operators.lanes import Lanes, attach
 from visitflow.operators.sequence import is_event, with_neighbours
 
 BY_SPECIALTY = ("patid", "tretspef")
 BY_PATIENT = ("patid",)
 
 
+def cohort_attrition(
+    appointments: DataFrame, patients: DataFrame, patient_types: DataFrame, params: P.StudyParams, lanes: Lanes
+) -> DataFrame:
+    """Appointments and patients left after each step from the raw table to the clinic cohort.
+
+    Every step depends on de-duplication keys and patient data only, so copies are merged first and counted as rows
+    until the step that removes them.
+    """
+    recoded = C.recode_sentinels(appointments)
+    keys = [k for k in P.DEDUPE_KEYS if k in recoded.columns]
+    merged = recoded.groupBy(*keys).agg(
+        F.min(lanes.tiebreak).alias(lanes.tiebreak), F.count(F.lit(1)).alias("__copies")
+    )
+    people = C.person_table(patients, patient_types).withColumn("__member", F.lit(True))
+    events = attach(merged, people, lanes, ["ons_dod", "diabetes_type", "__member"])
+    present = [F.col(f).isNotNull() for f in P.REQUIRED_FIELDS]
+    return Q.attrition(events, {
+        "loaded": F.lit(True),
+        "population": F.col("__member"),
+        "without_copies": F.lit(True),
+        "required_fields": present[0] & present[1] & present[2],
+        "before_death": (F.col("apptdate") < F.col("ons_dod")) | F.col("ons_dod").isNull(),
+        "specialty": F.col("tretspef") == params.specialty,
+        "type": F.col("diabetes_type").isin(list(params.types)),
+        "study": F.col("apptdate") > F.lit(params.study_start),
+        "clinic": F.col("apptdate").between(F.lit(params.sim_start), F.lit(params.sim_end)),
+    }, "patid", copies="__copies", merged_at="without_copies")
+
+
 def _neighbour_dates() -> dict[str, Column]:
     """A new referral has no previous event and a discharge no next one; unknown codes leave both unknown."""
     return {

@@ -82,13 +82,19 @@ def count_cells(data: Staged, params: P.StudyParams, folder: str) -> dict[str, D
         "imputed": (D.impute_outcome_type(window, params, data.lanes), (*CHECK_CELLS, "outcome2")),
         "check_cohort": (check_cohort, (*CHECK_CELLS, "outcome")),
     }
-    return {
+    counted = {
         name: write_table(T.cells(df, columns), f"{folder}/cells/{name}") for name, (df, columns) in wanted.items()
     }
+    summary = T.summary_table(period, _summary_fields(data), R.TYPE, params.types)
+    return counted | {"summary_specialty": write_table(summary, f"{folder}/cells/summary_specialty")}
+
+
+def _summary_fields(data: Staged) -> list[str]:
+    return [f for f in P.SUMMARY_FIELDS if f in data.derived.columns]
 
 
 def result_tables(
-    data: Staged, counted: dict[str, DataFrame], params: P.StudyParams
+    sources: Sources, data: Staged, counted: dict[str, DataFrame], params: P.StudyParams
 ) -> dict[str, DataFrame]:
     """Every result table by name."""
     period, study, cohort = counted["period"], counted["study"], counted["cohort"]
@@ -96,7 +102,6 @@ def result_tables(
     all_rows = C.from_study_start(
         data.derived.where(F.col("diabetes_type").isin(list(params.types))), params, include_start=True
     )
-    fields = [f for f in P.SUMMARY_FIELDS if f in data.derived.columns]
     tables = {
         "type_by_kind": R.kinds_by_type(period),
         "attended_type_by_kind": R.kinds_by_type(C.attended_only(period)),
@@ -109,12 +114,14 @@ def result_tables(
         **{f"attendance_percent_{t}": R.attendance_percent_by_kind(period, t) for t in params.types},
         "events_per_patient": R.events_per_patient(period_rows),
         "follow_ups_per_patient": R.follow_ups_per_patient(period_rows),
-        "summary_all": T.summary_table(all_rows, fields, R.TYPE, params.types),
-        "summary_specialty": T.summary_table(period_rows, fields, R.TYPE, params.types),
-        "summary_detail": T.summary_detail(
-            T.summary_table(period_rows, fields, R.TYPE, params.types), R.TYPE
-        ),
+        "summary_all": T.summary_table(all_rows, _summary_fields(data), R.TYPE, params.types),
+        "summary_specialty": counted["summary_specialty"],
+        "summary_detail": T.summary_detail(counted["summary_specialty"], R.TYPE),
         "null_profile": Q.null_profile(without_lanes(data.derived)),
+        "raw_null_profile": Q.null_profile(sources.appointments),
+        "attrition": D.cohort_attrition(
+            sources.appointments, sources.patients, sources.patient_types, params, data.lanes
+        ),
         "weekly_new": R.weekly_new(cohort, params),
         "weekly_existing_index": R.weekly_existing_index(cohort, params),
         "cumulative_by_week": R.cumulative_by_week(cohort, params),
@@ -161,7 +168,7 @@ def run(
     data = stage(sources, params, f"{folder}/data", lane_rows)
     counted = count_cells(data, params, f"{folder}/data")
     written = {}
-    for name, table in result_tables(data, counted, params).items():
+    for name, table in result_tables(sources, data, counted, params).items():
         written[name] = f"{folder}/results/{name}"
         write_result_csv(table, written[name])
     for measure in ("prop", "count"):

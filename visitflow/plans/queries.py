@@ -472,14 +472,7 @@ def _(i):
 
 @query("cohort_attrition")
 def _(i):
-    coded = i.coded
-    return Q.attrition(coded, {
-        "cleaned": F.lit(True),
-        "specialty": F.col("tretspef") == STUDY.specialty,
-        "type": F.col("diabetes_type").isin(list(STUDY.types)),
-        "study": F.col("apptdate") > F.lit(STUDY.study_start),
-        "clinic": F.col("apptdate").between(F.lit(STUDY.sim_start), F.lit(STUDY.sim_end)),
-    }, "patid")
+    return D.cohort_attrition(i.raw, i.patients, i.patient_types, STUDY, i.lanes)
 
 
 @query("suppress_small_cells")
