@@ -396,6 +396,11 @@ def _plain() -> dict[str, str]:
             first_value(outcome IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
             last_value(outcome IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
             AS outcome_filled FROM coded WINDOW w AS (PARTITION BY patid, tretspef {ORDER})"""),
+        "neighbours_of_other_events": """SELECT event_id, user_id, CAST(ts AS DATE) AS day,
+            lag(event_type) OVER w AS previous_type, lead(event_type) OVER w AS next_type,
+            CAST(datediff('day', lag(CAST(ts AS DATE)) OVER w, CAST(ts AS DATE)) AS INT) AS days_since_previous,
+            CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS n_events
+            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id)""",
         "group_size": _on(f"""SELECT {key}, diabetes_type,
             CAST(count(*) OVER (PARTITION BY patid, diabetes_type) AS BIGINT) AS "count" FROM period""", "period"),
         "backfill_discharged": derived("SELECT attendkey, outcome, lead_firstatt, discharged FROM derived"),

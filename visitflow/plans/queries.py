@@ -292,6 +292,19 @@ def _(i):
     return filled.select(*ID, "tretspef", "outcome", "outcome_filled")
 
 
+@query("neighbours_of_other_events")
+def _(i):
+    """The same operator on another table of dated events per entity, with its own column names."""
+    events = X.table(i.spark, i.sf_dir, "events").withColumn("day", F.to_date("ts"))
+    lanes = plan_lanes(events, key="user_id", date="day", tiebreak="event_id")
+    out = E.with_neighbours(
+        events, lanes, ["user_id"], previous={"previous_type": "event_type", "previous_day": "day"},
+        following={"next_type": "event_type"}, size="n_events",
+    )
+    gap = S.days_between(F.col("previous_day"), F.col("day")).alias("days_since_previous")
+    return out.select("event_id", "user_id", "day", "previous_type", "next_type", gap, "n_events")
+
+
 @query("group_size")
 def _(i):
     sized = E.with_neighbours(i.period, i.lanes, ["patid", "diabetes_type"], size="count")

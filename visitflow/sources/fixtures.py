@@ -57,6 +57,7 @@ TABLE_SCHEMAS = {
     "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
     "nation": "n_nationkey int, n_regionkey int",
     "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
 }
 SPECIALTY_NAMES = {"307": "Diabetic Medicine", "300": "General Medicine"}
 
