@@ -3,7 +3,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from tests.compare import difference, duck, duck_rows, spark_rows
-from visitflow.plans.queries import Inputs
+from visitflow.operators.cleaning import clean_appointments
+from visitflow.operators.lanes import plan_lanes
+from visitflow.plans.datasets import study_dataset
+from visitflow.plans.queries import STUDY, Inputs
 
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
@@ -62,3 +65,20 @@ def test_study_dataset_shuffles_events_twice(spark, sf_dir):
     shuffles = [line for line in final.splitlines() if "Exchange hashpartitioning" in line]
     events = [s for s in shuffles if "__key" in s or "admincat" in s]
     assert len(events) == 2, "\n".join(shuffles)
+
+
+def test_study_filters_reach_the_scan_below_the_join_and_the_merge_of_copies(spark, sf_dir, tmp_path):
+    i = Inputs(spark, sf_dir)
+    i.raw.write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    lanes = plan_lanes(raw)
+    cleaned = clean_appointments(raw, i.patients, i.patient_types, None, lanes)
+    study = study_dataset(cleaned, STUDY, lanes).select("patid", "appt_int_last_binned")
+    plan = study._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "/raw" in line]
+    main = scans[0]
+    for pushed in ("EqualTo(tretspef,307)", "GreaterThan(apptdate,1997-12-01)", "IsNotNull(tretspef)"):
+        assert pushed in main, main
+    assert "apptage" not in main
+    counting = [line for line in scans if "ReadSchema: struct<patid:bigint>" in line]
+    assert counting, "heavy keys are counted from the key column alone"

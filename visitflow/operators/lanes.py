@@ -65,7 +65,7 @@ class Lanes:
             F.broadcast(days), F.expr(f"{self.key} <=> __day_key AND {self.date} <=> __day"), "left"
         )
         day = f"CAST(coalesce(unix_date({self.date}), {_UNDATED}) AS bigint)"
-        block = f"CAST(coalesce(floor(({self.tiebreak} - __low) / __width), 0) AS bigint)"
+        block = f"CAST(coalesce(floor((CAST({self.tiebreak} AS double) - __low) / __width), 0) AS bigint)"
         return marked.selectExpr(
             *df.columns,
             f"{self.plain_key(df)} AS {KEY}",
@@ -88,15 +88,16 @@ def plan_lanes(
 ) -> Lanes:
     """Find the heavy entities of ``events``: one narrow, pre-aggregated pass over the key column.
 
-    ``tiebreak`` must be numeric; a heavy day is cut into equal ranges of it.
+    ``date`` must be a DATE column and ``tiebreak`` numeric; a heavy day is cut into equal ranges of the tiebreak.
     """
     hot = events.groupBy(key).agg(F.expr("count(*) AS __n")).where(f"__n > {limit}").select(key)
     lanes = Lanes(key, date, tiebreak, hot, hot)
-    width = f"(max({tiebreak}) - min({tiebreak})) / ceil(count(*) * {_CUTS_PER_LIMIT} / {limit}) + 1D"
+    low = f"CAST(min({tiebreak}) AS double)"
+    width = f"(CAST(max({tiebreak}) AS double) - {low}) / ceil(count(*) * {_CUTS_PER_LIMIT} / {limit}) + 1D"
     hot_days = (
         lanes.only_hot(events.select(key, date, tiebreak))
         .groupBy(key, date)
-        .agg(F.expr("count(*) AS __n"), F.expr(f"min({tiebreak}) AS __low"), F.expr(f"{width} AS __width"))
+        .agg(F.expr("count(*) AS __n"), F.expr(f"{low} AS __low"), F.expr(f"{width} AS __width"))
         .where(f"__n > {limit}")
         .select(key, date, "__low", "__width")
     )
