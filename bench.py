@@ -13,7 +13,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from visitflow.operators.tabulate import cells  # noqa: E402
-from visitflow.plans import datasets as D  # noqa: E402
 from visitflow.plans import tables as R  # noqa: E402
 from visitflow.plans.jobs import COHORT_CELLS  # noqa: E402
 from visitflow.plans.queries import STUDY, Inputs, all_queries  # noqa: E402
@@ -55,8 +54,7 @@ def extra(spark) -> dict[str, float]:
     timeline = all_queries()["cumulative_timeline"]
 
     def cohort():
-        i = Inputs(spark, SF_DIR)
-        return D.with_missed_gap(i.indexed, i.lanes)
+        return Inputs(spark, SF_DIR).indexed
 
     def tables(data):
         for table in COHORT_TABLES:

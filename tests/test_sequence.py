@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from visitflow import params as P
 from visitflow.operators import sequence as E
+from visitflow.operators.cleaning import code_categories
 from visitflow.operators.lanes import KEY, LANE, plan_lanes
 from visitflow.plans import datasets as D
 
@@ -108,11 +109,21 @@ def test_window_index(spark):
     df = events(spark, ("03-01", 2, 2), ("03-01", 2, 2), ("03-10", 2, 2))
     for limit in (1000, 1):
         lanes = plan_lanes(df, limit=limit)
-        rows = D.with_window_index(df, lanes).orderBy("attendkey").collect()
+        rows = D.cohort_sequence(code_categories(df), lanes).orderBy("attendkey").collect()
         assert column(rows, "flag_first_appt_sim") == [1, 0, 0]
         assert column(rows, "time_since_first_d1") == [1, 1, 10]
 
 
+def test_missed_events_look_past_a_discharge(spark):
+    df = events(spark, ("01-01", 2, 1), ("01-09", 2, 1)).withColumn(
+        "attended", F.when(F.col("attendkey") == 1, 3).otherwise(5))
+    for limit in (1000, 1):
+        lanes = plan_lanes(df, limit=limit)
+        rows = D.study_dataset(df, STUDY, lanes, missed_gap=True).orderBy("attendkey").collect()
+        assert column(rows, "cancel_dna_interval") == [2, None]
+        assert column(rows, "next_appt_date") == [None, None]
+
+
 # --- Heavy entities ----------------------------------------------------------------------------------
 
 

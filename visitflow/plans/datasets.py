@@ -103,15 +103,30 @@ def next_band() -> Column:
     return F.coalesce(if_known(discharged, P.DISCHARGED, weeks), F.lit(P.UNKNOWN))
 
 
-def study_dataset(cleaned: DataFrame, params: P.StudyParams, lanes: Lanes) -> DataFrame:
-    """Study events of one specialty, with sequence variables computed inside the study period only."""
+def _missed_gap() -> dict[str, Column]:
+    """For cancelled and missed events: next event of the patient, discharge or not, and the weeks until then."""
+    after = F.when(is_in(F.col("attended_agg"), (P.CANCELLED, P.MISSED)), F.col("__next_date"))
+    return {
+        "cancel_dna_next_apptdate": after, "cancel_dna_interval": weeks_up(days_between(F.col("apptdate"), after)),
+    }
+
+
+def study_dataset(
+    cleaned: DataFrame, params: P.StudyParams, lanes: Lanes, missed_gap: bool = False
+) -> DataFrame:
+    """Study events of one specialty, with sequence variables computed inside the study period only.
+
+    ``missed_gap`` adds the gap from a missed to the next event, from the same pass over the events.
+    """
     events = C.code_categories(C.from_study_start(C.of_specialty(cleaned, params), params))
     out = with_neighbours(
         events, lanes, BY_PATIENT,
         previous={"__previous_date": "apptdate"}, following={"__next_date": "apptdate"},
     )
-    out = with_gaps(out.withColumns(_neighbour_dates())).drop("__previous_date", "__next_date")
-    return out.withColumns({"appt_int_last_binned": last_band(), "appt_int_next_binned": next_band()})
+    out = with_gaps(out.withColumns(_neighbour_dates() | (_missed_gap() if missed_gap else {})))
+    return out.withColumns({"appt_int_last_binned": last_band(), "appt_int_next_binned": next_band()}).drop(
+        "__previous_date", "__next_date"
+    )
 
 
 def clinic_cohort(
@@ -132,24 +147,21 @@ def clinic_cohort(
     )
 
 
-def with_window_index(cohort: DataFrame, lanes: Lanes) -> DataFrame:
-    """First event of each patient in the cohort: flag, date, and 1-based days since it."""
-    out = with_neighbours(cohort, lanes, BY_PATIENT, earliest={"__first": "true"})
+def cohort_sequence(cohort: DataFrame, lanes: Lanes) -> DataFrame:
+    """Sequence variables inside the cohort, in one pass.
+
+    First event of each patient (flag, date, 1-based days since it) and the gap from a missed to the next event.
+    """
+    out = with_neighbours(
+        cohort, lanes, BY_PATIENT, following={"__next_date": "apptdate"}, earliest={"__first": "true"}
+    )
     first = F.col("__first")
     return out.withColumns({
         "flag_first_appt_sim": is_event(first, "apptdate", "attendkey").cast("int"),
         "date_first_appt_sim": first["date"],
         "time_since_first_d1": days_between(first["date"], F.col("apptdate")) + F.lit(1),
-    }).drop("__first")
-
-
-def with_missed_gap(df: DataFrame, lanes: Lanes) -> DataFrame:
-    """For cancelled and missed events: next event of the patient, discharge or not, and the weeks until then."""
-    out = with_neighbours(df, lanes, (*BY_PATIENT, "diabetes_type"), following={"__next_date": "apptdate"})
-    was_missed = is_in(F.col("attended_agg"), (P.CANCELLED, P.MISSED))
-    return out.withColumn("cancel_dna_next_apptdate", F.when(was_missed, F.col("__next_date"))).withColumn(
-        "cancel_dna_interval", weeks_up(days_between(F.col("apptdate"), F.col("cancel_dna_next_apptdate")))
-    ).drop("__next_date")
+        **_missed_gap(),
+    }).drop("__first", "__next_date")
 
 
 def with_calendar(df: DataFrame) -> DataFrame:

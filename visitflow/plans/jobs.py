@@ -55,13 +55,9 @@ def stage(sources: Sources, params: P.StudyParams, folder: str, lane_rows: int =
         f"{folder}/cleaned",
     )
     derived = write_table(D.derive_sequence(cleaned, params, lanes), f"{folder}/derived")
-    study = write_table(
-        D.with_missed_gap(D.study_dataset(cleaned, params, lanes), lanes), f"{folder}/study"
-    )
+    study = write_table(D.study_dataset(cleaned, params, lanes, missed_gap=True), f"{folder}/study")
     in_window = D.clinic_cohort(study, params, lanes).drop("cancel_dna_next_apptdate", "cancel_dna_interval")
-    cohort = write_table(
-        D.with_missed_gap(D.with_window_index(in_window, lanes), lanes), f"{folder}/cohort"
-    )
+    cohort = write_table(D.cohort_sequence(in_window, lanes), f"{folder}/cohort")
     return Staged(lanes, cleaned, derived, study, cohort)
 
 

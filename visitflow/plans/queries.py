@@ -80,7 +80,11 @@ class Inputs:
 
     @cached_property
     def indexed(self):
-        return D.with_window_index(self.cohort, self.lanes)
+        return D.cohort_sequence(self.cohort, self.lanes)
+
+    @cached_property
+    def study_with_gap(self):
+        return D.study_dataset(self.cleaned, STUDY, self.lanes, missed_gap=True)
 
     @cached_property
     def checked(self):
@@ -367,7 +371,7 @@ def _(i):
 
 @query("clinic_cohort_indexed")
 def _(i):
-    return without_lanes(i.indexed)
+    return without_lanes(i.indexed).drop("cancel_dna_next_apptdate", "cancel_dna_interval")
 
 
 @query("first_in_window_flag")
@@ -382,8 +386,7 @@ def _(i):
 
 @query("missed_to_next_gap")
 def _(i):
-    gaps = D.with_missed_gap(i.study, i.lanes)
-    return gaps.select(*ID, "attended_agg", "cancel_dna_next_apptdate", "cancel_dna_interval")
+    return i.study_with_gap.select(*ID, "attended_agg", "cancel_dna_next_apptdate", "cancel_dna_interval")
 
 
 @query("impute_outcome_type")
@@ -574,12 +577,12 @@ def _(i):
 
 @query("missed_gap_mean_cl")
 def _(i):
-    return R.missed_gap_means(D.with_missed_gap(i.cohort, i.lanes))
+    return R.missed_gap_means(i.indexed)
 
 
 @query("missed_gap_mean_st")
 def _(i):
-    return R.missed_gap_means(D.with_missed_gap(i.study, i.lanes))
+    return R.missed_gap_means(i.study_with_gap)
 
 
 @query("table_one_all")
