@@ -1,8 +1,11 @@
 import glob
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from visitflow.operators.lanes import plan_lanes
+from visitflow.plans import datasets as D
 from visitflow.plans import jobs
 from visitflow.plans.queries import all_queries
 from visitflow.sources import fixtures as X
@@ -41,6 +44,24 @@ def test_job_tables_equal_the_queries(spark, sf_dir, written, name):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
 
 
+@pytest.mark.parametrize("limit", [5, 10**6])
+def test_steps_on_staged_tables_do_not_shuffle_events(spark, written, limit):
+    """What is shuffled are summary rows of heavy patients only, also for windows on more than the patient."""
+    cleaned = spark.table("visitflow_cleaned")
+    lanes = replace(plan_lanes(cleaned, limit=5), placed=True)
+    if limit > 5:
+        lanes = replace(lanes, hot=lanes.hot.limit(0), hot_days=lanes.hot_days.limit(0))
+    for step in (D.study_dataset, D.derive_sequence):
+        df = step(cleaned, X.STUDY, lanes)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        lines = final.splitlines()
+        events = [n for n, x in enumerate(lines) if "Exchange hashpartitioning(__key" in x]
+        assert len(events) == (1 if limit == 5 else 0), final
+        assert all("Aggregate(key" in next(x for x in lines[n + 1:] if "Project" not in x) for n in events), final
+        assert "REPARTITION" not in final
+
+
 def test_one_folder_per_matrix(spark, written):
     groups = {path.rsplit("=", 1)[1] for path in glob.glob(f"{written['transition_prop']}/group_name=*")}
     assert {"New_type1", "New_type2"} <= groups and any("Follow" in g for g in groups)
@@ -59,6 +80,13 @@ def test_staged_table_is_replaced(spark, tmp_path):
     assert S.write_table(spark.range(3), path).count() == 3
 
 
+def test_bucketed_table_is_replaced_and_has_one_file_per_bucket(spark, tmp_path):
+    for rows, folder in ((50, "a"), (30, "b"), (40, "b")):
+        path = str(tmp_path / folder)
+        assert S.write_bucketed(spark.range(rows), "bucketed_copy", path, ["id"]).count() == rows
+        assert len(glob.glob(f"{path}/part-*")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_lookup_codes_stay_text(spark, tmp_path):
     path = tmp_path / "lookup.csv"
     path.write_text("tretspef,tretspef_name\n007,Seven\n307,Diabetic Medicine\n")

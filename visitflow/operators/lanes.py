@@ -35,6 +35,7 @@ class Lanes:
     """Heavy entities and heavy entity-days of one event table.
 
     Built from a table, it also serves every subset of it: an entity light in the whole is light in any part.
+    ``placed`` says that the events come from a table bucketed by the lane columns.
     """
 
     key: str
@@ -42,6 +43,7 @@ class Lanes:
     tiebreak: str
     hot: DataFrame
     hot_days: DataFrame
+    placed: bool = False
 
     def plain_key(self, df: DataFrame) -> str:
         """SQL text of the key with a blank for NULL."""

@@ -23,7 +23,9 @@ class _Laned:
             raise ValueError(f"'by' must contain the lane key {lanes.key!r}")
         self.lanes, self.others, self.kept = lanes, [c for c in by if c != lanes.key], df.columns
         self.events = lanes.assign(df)
-        self.spread = self.events.repartition(*LANE_COLUMNS)
+        # Further columns of ``by`` stay out of the partitioning, so that the joins on the lane columns share it.
+        explicit = self.others and not lanes.placed
+        self.spread = self.events.repartition(*LANE_COLUMNS) if explicit else self.events
         keys = ", ".join([*LANE_COLUMNS, *self.others])
         self.lane = f"PARTITION BY {keys}"
         self.ordered = f"{self.lane} ORDER BY {lanes.date} ASC NULLS LAST, {lanes.tiebreak} ASC NULLS LAST"
@@ -47,8 +49,12 @@ class _Laned:
             *[f"{name} AS __edge_by{i}" for i, name in enumerate(self.others)],
             *[f"{text} AS {name}" for name, text in edges.items()],
         )
+        # Null-safe, but not as a join key: the keys have to be exactly the columns the events are partitioned by.
         same = [f"{KEY} = __edge_key AND {LANE} = __edge_lane"]
-        same += [f"{name} <=> __edge_by{i}" for i, name in enumerate(self.others)]
+        same += [
+            f"coalesce({name} = __edge_by{i}, {name} IS NULL AND __edge_by{i} IS NULL)"
+            for i, name in enumerate(self.others)
+        ]
         return here.join(moved, F.expr(" AND ".join(same)), "left")
 
 

@@ -13,12 +13,12 @@ from visitflow.functions.semantics import calendar_week
 from visitflow.operators import cleaning as C
 from visitflow.operators import quality as Q
 from visitflow.operators import tabulate as T
-from visitflow.operators.lanes import DEFAULT_LIMIT, Lanes, plan_lanes, stage_lanes, without_lanes
+from visitflow.operators.lanes import DEFAULT_LIMIT, LANE_COLUMNS, Lanes, plan_lanes, stage_lanes, without_lanes
 from visitflow.operators.timeline import week_grid
 from visitflow.plans import datasets as D
 from visitflow.plans import tables as R
 from visitflow.session import checkpoint_folder
-from visitflow.sources.tables import write_result_csv, write_table
+from visitflow.sources.tables import write_bucketed, write_result_csv, write_table
 
 PERIOD_CELLS = ("diabetes_type", "firstatt_agg", "attended", "attended_agg")
 STUDY_CELLS = ("diabetes_type", "firstatt_agg", "attended_agg", R.LAST, R.NEXT, "cancel_dna_interval")
@@ -45,17 +45,27 @@ class Staged:
     cohort: DataFrame
 
 
-def stage(sources: Sources, params: P.StudyParams, folder: str, lane_rows: int = DEFAULT_LIMIT) -> Staged:
-    """Write cleaned, derived, study and cohort data, lane columns included, in that order."""
+def stage(
+    sources: Sources, params: P.StudyParams, folder: str, lane_rows: int = DEFAULT_LIMIT, prefix: str = "visitflow"
+) -> Staged:
+    """Write cleaned, derived, study and cohort data, lane columns included, in that order.
+
+    Cleaned and study data are bucketed by lane (tables ``<prefix>_cleaned`` and ``<prefix>_study``): the sequence
+    steps that read them need no shuffle.
+    """
     lanes = stage_lanes(plan_lanes(sources.appointments, limit=lane_rows), f"{folder}/lanes")
-    cleaned = write_table(
+    cleaned = write_bucketed(
         C.clean_appointments(
             sources.appointments, sources.patients, sources.patient_types, sources.lookup, lanes
         ),
-        f"{folder}/cleaned",
+        f"{prefix}_cleaned", f"{folder}/cleaned", LANE_COLUMNS,
     )
+    lanes = replace(lanes, placed=True)
     derived = write_table(D.derive_sequence(cleaned, params, lanes), f"{folder}/derived")
-    study = write_table(D.study_dataset(cleaned, params, lanes, missed_gap=True), f"{folder}/study")
+    study = write_bucketed(
+        D.study_dataset(cleaned, params, lanes, missed_gap=True),
+        f"{prefix}_study", f"{folder}/study", LANE_COLUMNS,
+    )
     in_window = D.clinic_cohort(study, params, lanes).drop("cancel_dna_next_apptdate", "cancel_dna_interval")
     cohort = write_table(D.cohort_sequence(in_window, lanes), f"{folder}/cohort")
     return Staged(lanes, cleaned, derived, study, cohort)
@@ -153,7 +163,8 @@ def result_tables(
 
 
 def run(
-    sources: Sources, params: P.StudyParams, folder: str | None = None, lane_rows: int = DEFAULT_LIMIT
+    sources: Sources, params: P.StudyParams, folder: str | None = None, lane_rows: int = DEFAULT_LIMIT,
+    prefix: str = "visitflow",
 ) -> dict[str, str]:
     """Stage everything and write the result tables as CSV; returns the folder of each table.
 
@@ -161,7 +172,7 @@ def run(
     """
     spark = sources.appointments.sparkSession
     folder = folder or f"{checkpoint_folder(spark)}/visitflow"
-    data = stage(sources, params, f"{folder}/data", lane_rows)
+    data = stage(sources, params, f"{folder}/data", lane_rows, prefix)
     counted = count_cells(data, params, f"{folder}/data")
     written = {}
     for name, table in result_tables(sources, data, counted, params).items():

@@ -37,6 +37,19 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return read_table(df.sparkSession, path, None if partition_by else df.schema)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, columns: Sequence[str]) -> DataFrame:
+    """Stage a dataset as a table bucketed by ``columns``, replacing it, and return the staged copy.
+
+    Later windows and joins on these columns read it without a shuffle. There are as many buckets as shuffle
+    partitions, and each is written by one task, so there is one file per bucket.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(buckets, *columns)
+    placed.write.mode("overwrite").format("parquet").bucketBy(buckets, *columns).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_result_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a result table as CSV with a header and ``NA`` for NULL, and return its input.
 
