@@ -185,7 +185,9 @@ def _total(levels: dict) -> str:
 
 
 def _percent_table(table: str, row: str, levels: dict, digits: int, with_n: bool = True) -> str:
-    cells = ", ".join(_percent(f'"{n}"', _total(levels), digits, with_n) + f' AS "{n}", "{n}" AS "n_{n}"' for n in levels)
+    cells = ", ".join(
+        _percent(f'"{n}"', _total(levels), digits, with_n) + f' AS "{n}", "{n}" AS "n_{n}"' for n in levels
+    )
     return f"SELECT {row}, {cells} FROM ({table})"
 
 
@@ -255,7 +257,8 @@ def _summary(source: str, variables: list[str], stratum: str) -> str:
 
 
 def _imputed(source: str, chained: bool = False) -> str:
-    lagged = f"""SELECT *, lag(apptdate) OVER w AS prev, lead(apptdate) OVER w AS nxt, lead(firstatt) OVER w AS lead_firstatt
+    lagged = f"""SELECT *, lag(apptdate) OVER w AS prev, lead(apptdate) OVER w AS nxt,
+        lead(firstatt) OVER w AS lead_firstatt
         FROM {source} WINDOW w AS (PARTITION BY patid, tretspef {ORDER})"""
     gaps = f"""SELECT *,
         CASE WHEN firstatt_agg <> 1 THEN {_weeks("datediff('day', prev, apptdate)")} END AS before_weeks,
@@ -437,7 +440,9 @@ def _plain() -> dict[str, str]:
 def _tables() -> dict[str, str]:
     status = "diabetes_type", "attended_agg", STATUS
     cohort = lambda body: _on(body, "cohort")
-    matrix = _share_within("cohort", ["firstatt_agg", "diabetes_type", "appt_int_last_binned"], ["appt_int_next_binned"])
+    matrix = _share_within(
+        "cohort", ["firstatt_agg", "diabetes_type", "appt_int_last_binned"], ["appt_int_next_binned"]
+    )
     named = "coalesce(firstatt_agg, 'NA') || '_' || coalesce(diabetes_type, 'NA') AS group_name"
     groups = f"firstatt_agg, diabetes_type, {named}"
     counts = f"""SELECT {groups}, appt_int_last_binned, appt_int_next_binned, CAST(count(*) AS BIGINT) AS total
@@ -450,7 +455,8 @@ def _tables() -> dict[str, str]:
     small = "CASE WHEN {0} BETWEEN 1 AND 9 THEN 10 ELSE {0} END"
     out = {
         "group_count": _on("""SELECT attended_agg, firstatt_agg, CAST(count(*) AS BIGINT) AS n, CASE attended_agg
-            WHEN 'Attended' THEN 1 WHEN 'Cancelled' THEN 2 ELSE 3 END AS level_rank FROM coded GROUP BY ALL""", "coded"),
+            WHEN 'Attended' THEN 1 WHEN 'Cancelled' THEN 2 ELSE 3 END AS level_rank
+            FROM coded GROUP BY ALL""", "coded"),
         "share_within_group": _on(_share_within("coded", ["diabetes_type"], ["attended_agg"]), "coded"),
         "spread_counts": _on(f"SELECT tretspef, {_cells('firstatt_agg', KIND)} FROM coded GROUP BY tretspef", "coded"),
         "tabulate_one_way": _on(f"""SELECT discharged, n, {_share('n', 'sum(n) OVER ()')} AS percent,
@@ -524,7 +530,8 @@ def _tables() -> dict[str, str]:
         one_row = _cells("appt_int_next_binned", NEXT, "nullif({}, 0)")
         out |= {
             f"last_interval_dist_{end}": _on(_percent_table(_tabulate(
-                source, "diabetes_type", "appt_int_last_binned", LAST, where=attended), "diabetes_type", LAST, 1), source),
+                source, "diabetes_type", "appt_int_last_binned", LAST, where=attended),
+                "diabetes_type", LAST, 1), source),
             f"attend_by_last_count_{end}": _on(f"""SELECT attended_agg, {_cells(
                 'appt_int_last_binned', LAST, 'nullif({}, 0)')} FROM {source} WHERE {attended}
                 GROUP BY attended_agg""", source),

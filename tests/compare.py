@@ -27,7 +27,8 @@ def _plain(value):
 
 def _rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=lambda r: tuple((v is None, str(v)) for v in r))
+    plain = (tuple(_plain(r[i]) for i in order) for r in rows)
+    return sorted(plain, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
 def spark_rows(df):

@@ -6,7 +6,7 @@ the counts, whose size depends on the number of categories only.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -254,7 +254,6 @@ def summary_detail(summary: DataFrame, stratum: str) -> DataFrame:
 
 def summary_continuous(df: DataFrame, variables: Sequence[str], stratum: str) -> DataFrame:
     """Number of known values, mean and standard deviation of numeric variables per stratum."""
-    stats: Mapping[str, str] = {"n": "bigint", "mean": "double", "sd": "double"}
     wide = df.groupBy(stratum).agg(*[
         F.struct(
             F.lit(v).alias("variable"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")
@@ -262,4 +261,4 @@ def summary_continuous(df: DataFrame, variables: Sequence[str], stratum: str) ->
         for v in variables
     ])
     rows = wide.select(stratum, F.explode(F.array(*[f"__{v}" for v in variables])).alias("__row"))
-    return rows.select(stratum, "__row.variable", *[F.col(f"__row.{s}").cast(kind).alias(s) for s, kind in stats.items()])
+    return rows.select(stratum, "__row.variable", "__row.n", "__row.mean", "__row.sd")
