@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.llm import decontaminate, language_id, packing, simhash
+from visitflow.llm import decontaminate, language_id, packing, simhash, suffix_dedup
 from visitflow.llm.common import stored
 from visitflow.llm.queries import table, tokenizer_bytes
 
@@ -32,6 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         .dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by strings that repeat go; a character that a cut has split goes with them."""
+    found = suffix_dedup.remove_repeats(docs, keep=COLUMNS, with_text=True)
+    text = F.col("kept_text")
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.tile_documents(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return found.filter(~F.col("contaminated")).select(*COLUMNS)
@@ -43,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language), ("SimHash near-dedup", near_duplicates),
-    ("benchmark decontamination", benchmark_passages), ("packing", pack),
+    ("suffix-array dedup", repeated_strings), ("benchmark decontamination", benchmark_passages), ("packing", pack),
 ]
 ORACLE_SQL = None
 

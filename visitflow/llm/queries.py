@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitflow.llm import decontaminate, language_id, packing, simhash, token_counts, toxicity, url_filter
+from visitflow.llm import decontaminate, language_id, lattice, packing, simhash, substring_dedup, suffix_dedup
+from visitflow.llm import token_counts, toxicity, url_filter
 from visitflow.llm.common import held_out
 
 RULES = (
@@ -50,6 +51,19 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.near_passages(table(spark, folder, "documents"))
+
+
+def op8_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.tile_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -61,7 +75,8 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_url_filter, op2_language_id, op3_token_counts, op4_simhash, op5_toxicity, op9_decontamination, op10_packing)
+        op1_url_filter, op2_language_id, op3_token_counts, op4_simhash, op5_toxicity, op6_suffix_dedup,
+        op7_substring_dedup, op8_lattice, op9_decontamination, op10_packing)
 }
 
 OP1_SQL = r"""
