@@ -45,7 +45,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_bytes("word_bpe_49k.json"), end_id=2, divider="<|endoftext|>")
+    return packing.pack_documents(docs, tokenizer_bytes("word_bpe_49k.json"), end_id=2)
 
 
 STAGES = [

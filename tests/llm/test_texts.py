@@ -41,7 +41,7 @@ def ids_of(texts):
 def test_packing_round_trip(request, frame):
     docs = request.getfixturevalue(frame)
     pieces = packing.pack_documents(
-        docs.repartition(3), tokenizer_bytes(WORDS), 2, "<|endoftext|>", with_ids=True, chunk_tokens=100_000).collect()
+        docs.repartition(3), tokenizer_bytes(WORDS), 2, with_ids=True, chunk_tokens=100_000).collect()
     rows = docs.select("doc_id", "text").collect()
     wanted = sorted((str(r.doc_id), tuple(x)) for r, x in zip(rows, ids_of([r.text for r in rows]), strict=True))
     by_sequence = defaultdict(list)

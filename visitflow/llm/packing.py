@@ -13,6 +13,7 @@ are ignored. ``sequence_id`` is the split's number times 2**32 plus a count.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ from visitflow.llm.common import list_offsets, text_slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CHUNK_TOKENS = 4 << 20
+CACHE = 150_000
 
 
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
@@ -141,53 +143,85 @@ def pack(lengths: np.ndarray, window: int, grid: int, ways: list) -> list[tuple[
     return pieces
 
 
-def chunk_ids(tokenizer, texts: pa.Array, divider: str, divider_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and where each begins.
+class WordEncoder:
+    """Ids of whole texts from the ids of their distinct pre-tokens.
 
-    White space ends every pre-token of this tokenizer, so a text's ids are those of its words; each distinct word is
-    encoded once, many words in one call with the divider between them. Words that hold it are encoded alone.
+    White space ends every pre-token of such a tokenizer (lower case, a splitting pattern, byte-level BPE). A distinct
+    word of ASCII and precomposed Latin letters, on which its normalizer only lowers the case, is split by the tokenizer's
+    own pattern and each distinct pre-token goes to its merge model once. Any other word is encoded as it is.
     """
-    lists = pc.ascii_split_whitespace(texts)
-    offsets = list_offsets(lists)
-    words = lists.flatten().dictionary_encode()
-    distinct = words.dictionary
-    alone = pc.match_substring(distinct, divider).to_numpy(zero_copy_only=False)
-    joined = tokenizer.encode(divider.join(distinct.filter(pa.array(~alone)).to_pylist()), add_special_tokens=False)
-    ids = np.array(joined.ids, np.uint32)
-    cuts = np.flatnonzero(ids == divider_id)
-    plain_starts = np.concatenate([[0], cuts + 1])
-    plain_ends = np.concatenate([cuts, [len(ids)]])
-    starts, ends, more = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [ids]
-    if (~alone).any():
-        starts[~alone], ends[~alone] = plain_starts, plain_ends
-    at = len(ids)
-    for i in np.flatnonzero(alone):
-        own = tokenizer.encode(distinct[int(i)].as_py(), add_special_tokens=False).ids
-        more.append(np.array(own, np.uint32))
-        starts[i], ends[i] = at, at + len(own)
-        at += len(own)
-    pool, index = np.concatenate(more), words.indices.to_numpy()
-    sizes = (ends - starts)[index]
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    flat = pool[np.repeat(starts[index] - before[:-1], sizes) + np.arange(before[-1])]
-    return flat, before[offsets]
+
+    PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+
+    def __init__(self, definition: bytes):
+        import regex
+        import tokenizers
+
+        self.tokenizer = tokenizers.Tokenizer.from_buffer(definition)
+        split, *_ = json.loads(definition)["pre_tokenizer"]["pretokenizers"]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        points = [*range(33, 127), *range(192, 256)]
+        self.bytes_as_text = {p: level.pre_tokenize_str(chr(p))[0][0] for p in points}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+        self.known: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def merge(self, token: str) -> bytes:
+        found = self.tokens.get(token)
+        if found is None:
+            if len(self.tokens) >= CACHE:
+                self.tokens.clear()
+            merged = self.tokenizer.model.tokenize(token.translate(self.bytes_as_text))
+            found = self.tokens[token] = np.array([t.id for t in merged], np.uint32).tobytes()
+        return found
+
+    def plain_word(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            found = self.known[word] = b"".join(map(self.merge, self.pattern.findall(word)))
+        return found
+
+    def any_word(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words``, one after the other, and where each begins."""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        for content in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, content))
+        lowered = pc.if_else(plain, pc.utf8_lower(words), words).to_pylist()
+        ids = [self.plain_word(w) if p else self.any_word(w) for w, p in zip(lowered, plain.to_pylist(), strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts``, one after the other, and where each begins."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        pool, begins = self.words(words.dictionary)
+        index = words.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
+        sizes = np.diff(begins)[index]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        flat = pool[np.repeat(begins[index] - before[:-1], sizes) + np.arange(before[-1])]
+        return flat, before[list_offsets(lists)]
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: bytes, end_id: int, divider: str, window: int = 4096, grid: int = 64, depth: int = 4,
+    docs: DataFrame, tokenizer: bytes, end_id: int, window: int = 4096, grid: int = 64, depth: int = 4,
     with_ids: bool = False, chunk_tokens: int = CHUNK_TOKENS,
 ) -> DataFrame:
     """Pieces of every document; ``docs`` has doc_id and text. ``with_ids`` adds the ids of each piece.
 
-    ``divider`` is a special token of ``tokenizer`` (the bytes of its JSON file).
+    ``tokenizer`` is the content of a JSON file of the tokenizers library, for which ``WordEncoder`` holds.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tokenizers
-
-        own = tokenizers.Tokenizer.from_buffer(tokenizer)
-        divider_id, sequence = own.token_to_id(divider), TaskContext.get().partitionId() << 32
+        own, sequence = WordEncoder(tokenizer), TaskContext.get().partitionId() << 32
         doc_ids: list = []
         token_ids: list[np.ndarray] = []
         ways = combinations(window // grid, depth)
@@ -213,8 +247,8 @@ def pack_documents(
             return pa.RecordBatch.from_pydict(columns)
 
         held = 0
-        for batch in text_slices(batches, limit=4 << 20):
-            ids, starts = chunk_ids(own, pc.fill_null(batch.column("text"), ""), divider, divider_id)
+        for batch in text_slices(batches):
+            ids, starts = own.texts(pc.fill_null(batch.column("text"), ""))
             for k in range(batch.num_rows):
                 doc = np.append(ids[starts[k]:starts[k + 1]], np.uint32(end_id))
                 doc_ids.append(batch.column("doc_id")[k].as_py())

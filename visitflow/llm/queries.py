@@ -70,7 +70,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(
-        table(spark, folder, "documents"), tokenizer_bytes("word_bpe_49k.json"), end_id=2, divider="<|endoftext|>")
+        table(spark, folder, "documents"), tokenizer_bytes("word_bpe_49k.json"), end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
