@@ -39,10 +39,11 @@ from pyspark.sql import functions as F
 from visitflow.llm.common import stored, text_slices
 from visitflow.llm.suffix_array import common_with_neighbour, suffix_array, words_at
 
-LENGTH, GRAM, PARTS, CROWD, CHUNK = 400, 32, 3, 4096, 2 << 20
+LENGTH, GRAM, PARTS, CROWD, CHUNK, SLICE = 400, 32, 3, 4096, 2 << 20, 2 << 20
 _random = random.Random(400)
 TABLE = [_random.getrandbits(64) | 1 for _ in range(512)]
 REGION = "core long, region long, row long, start int, windows int, left int"
+POWERS: dict[int, np.ndarray] = {}
 CORE_MARK, END_MARK = 0xFF, 0xFE  # neither occurs in UTF-8
 
 
@@ -79,13 +80,20 @@ class Hashes:
 
 
 def _powers(factor: int, n: int) -> np.ndarray:
-    out = np.ones(max(n, 1), np.uint64)
+    known = POWERS.get(factor)
+    if known is None or len(known) < n:
+        known = POWERS[factor] = _new_powers(factor, max(n, SLICE + 1))
+    return known[:n]
+
+
+def _new_powers(factor: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
     done = 1
     while done < n:
         step = min(done, n - done)
         out[done:done + step] = out[:step] * np.uint64(pow(factor, done, 1 << 64))
         done += step
-    return out[:n]
+    return out
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
@@ -148,7 +156,7 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _region_rows(rows: DataFrame, layout: Layout) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             text, begins = _flat(batch.column("text"))
             found = regions(text, begins, layout)
             yield pa.RecordBatch.from_arrays(
