@@ -197,8 +197,10 @@ def _share_within(source: str, outer: list[str], inner: list[str], where: str =
         FROM (SELECT {keys}, CAST(count(*) AS BIGINT) AS n FROM {source} WHERE {where} GROUP BY {keys})"""
 
 
-def _spread(table: str, ids: str, key: str, value: str, levels: dict) -> str:
-    cells = ", ".join(f'max({value}) FILTER (WHERE {key} = {_literal(v)}) AS "{n}"' for n, v in levels.items())
+def _spread(table: str, ids: str, key: str, value: str, levels: dict, rounded: str = "") -> str:
+    pairs = [("", value), (f"_{rounded[-3:]}", rounded)] if rounded else [("", value)]
+    cells = ", ".join(
+        f'max({v}) FILTER (WHERE {key} = {_literal(level)}) AS "{n}{end}"' for end, v in pairs for n, level in levels.items())
     return f"SELECT {ids}, {cells} FROM ({table}) GROUP BY {ids}"
 
 
@@ -537,13 +539,13 @@ def _tables() -> dict[str, str]:
                 GROUP BY attended_agg""", source),
             f"attend_by_last_prop_{end}": _on(_spread(_share_within(
                 source, ["appt_int_last_binned"], ["attended_agg"], attended), "appt_int_last_binned", "attended_agg",
-                "prop", STATUS), source),
+                "prop", STATUS, "prop_2dp"), source),
             f"new_attend_pct_{end}": _on(_percent_table(_tabulate(
                 source, *status, where="firstatt_agg = 'New'"), "diabetes_type", STATUS, 1), source),
             f"new_next_count_{end}": _on(f"SELECT {one_row} FROM {source} WHERE {kept}", source),
             f"new_next_prop_{end}": _on(_spread(_share_within(
                 source, ["diabetes_type"], ["appt_int_next_binned"], kept), "diabetes_type", "appt_int_next_binned",
-                "prop", NEXT), source),
+                "prop", NEXT, "prop_2dp"), source),
             f"missed_gap_mean_{end}": _on(f"""SELECT diabetes_type, attended_agg, firstatt_agg,
                 avg(cancel_dna_interval) AS mean, CAST(count(*) AS BIGINT) AS n FROM ({_missed(source)})
                 WHERE attended_agg <> 'Attended' GROUP BY ALL""", source),

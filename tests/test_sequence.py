@@ -206,3 +206,18 @@ def test_fill_goes_up_then_down(spark):
     for limit in (1000, 1):
         filled = E.fill_up_down(df, plan_lanes(df, limit=limit), ["patid"], "outcome").orderBy("attendkey")
         assert column(filled.collect(), "outcome") == [2, 2, 3, 3, 3]
+
+
+@pytest.mark.parametrize("kind", ["null", "text", "outlier"])
+def test_any_tiebreak_gives_the_same_at_any_limit(spark, kind):
+    keys = {"null": "nullif(id, 30)", "text": "concat('k', lpad(id, 5, '0'))", "outlier": "if(id = 59, 1000000000000000, id)"}
+    events = spark.range(60).selectExpr(
+        "1L AS patid", "date_add(DATE '2020-01-01', CAST(id / 30 AS int)) AS apptdate", f"{keys[kind]} AS attendkey", "id")
+    found = []
+    for limit in (3, 10**6):
+        lanes = plan_lanes(events, limit=limit)
+        near = E.with_neighbours(events, lanes, ["patid"], previous={"before": "id"}, following={"after": "id"}, size="n")
+        found.append(sorted(map(str, near.select("id", "before", "after", "n").collect())))
+        if limit == 3:
+            assert lanes.assign(events).groupBy(LANE).count().agg({"count": "max"}).first()[0] <= 3
+    assert found[0] == found[1]

@@ -78,7 +78,7 @@ def test_spread_leaves_absent_cells_null(events):
 
 
 def test_summary_lists_missing_and_absent_levels(events):
-    table = T.summary_table(events, ["firstatt_agg", "sim_week"], "diabetes_type", ("type1", "type2"))
+    table = T.summary_table(events, ["firstatt_agg", "sim_week"], "diabetes_type", ("type1", "type2"), with_missing=True)
     got = {(r.variable, r.level, r.diabetes_type): r.n for r in table.collect()}
     assert got[("firstatt_agg", "NA", "type2")] == 1 and got[("firstatt_agg", "NA", "type1")] == 0
     assert got[("sim_week", "53", "type1")] == 0
@@ -144,3 +144,13 @@ def test_tables_read_cells_like_events(events):
     by_cell = T.cells(gaps, ["diabetes_type", "gap"])
     assert rows(gaps.groupBy("diabetes_type").agg(T.mean_over_events(gaps, "gap"))) == rows(
         by_cell.groupBy("diabetes_type").agg(T.mean_over_events(by_cell, "gap")))
+
+
+def test_total_and_missing_names_as_values(spark):
+    rows = spark.createDataFrame([("Sum", "p"), ("y", "p"), ("y", "q")], "a string, b string")
+    table = sorted(tuple(r) for r in T.crosstab_margins(rows, "a", "b", ["p", "q"]).collect())
+    assert table == [("Sum", 1, 0, 1), ("Sum", 2, 1, 3), ("y", 1, 1, 2)]
+    rows = spark.createDataFrame([("NA", "s"), (None, "s"), ("x", "s")], "v string, g string")
+    summary = T.summary_table(rows, ["v"], "g", ["s"], with_missing=True)
+    assert sorted((r.level, r.missing, r.n) for r in summary.collect()) == [("NA", False, 1), ("NA", True, 1), ("x", False, 1)]
+    assert {(r.miss, r.n) for r in T.summary_detail(summary, "g").collect()} == {(1, 3)}

@@ -11,7 +11,14 @@ from visitflow import params as P
 from visitflow.functions.semantics import code_label, is_in, null_if_in
 from visitflow.operators.lanes import Lanes, attach
 
-MAX_BROADCAST_CODES = 100_000
+
+def resolve(df: DataFrame, names: Sequence[str], optional: Sequence[str] = ()) -> list[str]:
+    """The columns of ``df`` with these names, whatever their letter case; only ``optional`` ones may be absent."""
+    present = {c.lower(): c for c in df.columns}
+    absent = [n for n in names if n.lower() not in present and n not in optional]
+    if absent:
+        raise ValueError(f"columns are absent: {', '.join(absent)}")
+    return [present[n.lower()] for n in names if n.lower() in present]
 
 
 def recode_sentinels(
@@ -20,13 +27,18 @@ def recode_sentinels(
     text_to_int: Mapping[str, Sequence] = P.TEXT_SENTINELS,
     zero_ages: str | None = "apptage",
 ) -> DataFrame:
-    """Missing-value codes to NULL, text codes to integers, infant age codes to 0; absent columns are skipped."""
-    changes: dict[str, Column] = {c: null_if_in(F.col(c), codes) for c, codes in numeric.items() if c in df.columns}
+    """Missing-value codes to NULL, text codes to integers, infant age codes to 0; absent columns are skipped, letter case is ignored."""
+    present = {c.lower(): c for c in df.columns}
+    changes: dict[str, Column] = {
+        present[c.lower()]: null_if_in(F.col(c), codes) for c, codes in numeric.items() if c.lower() in present
+    }
     changes |= {
-        c: null_if_in(F.col(c), codes).try_cast("int") for c, codes in text_to_int.items() if c in df.columns
+        present[c.lower()]: null_if_in(F.col(c), codes).try_cast("int")
+        for c, codes in text_to_int.items() if c.lower() in present
     }
-    if zero_ages in df.columns:
-        changes[zero_ages] = F.when(F.col(zero_ages).isin(list(P.INFANT_AGE_CODES)), 0).otherwise(F.col(zero_ages))
+    if zero_ages and zero_ages.lower() in present:
+        age = F.col(zero_ages)
+        changes[present[zero_ages.lower()]] = F.when(age.isin(list(P.INFANT_AGE_CODES)), 0).otherwise(age)
     return df.withColumns(changes)
 
 
@@ -69,16 +81,24 @@ def attended_only(df: DataFrame) -> DataFrame:
     return df.where(F.col("attended").isin(list(P.ATTENDED_CODES)))
 
 
-def dedupe_keep_first(df: DataFrame, keys: Sequence[str] = P.DEDUPE_KEYS, tiebreak: str = "attendkey") -> DataFrame:
-    """One whole row per key combination (NULL equals NULL): the one with the lowest, never NULL, tiebreak.
+def dedupe_keep_first(
+    df: DataFrame, keys: Sequence[str] = P.DEDUPE_KEYS, tiebreak: str = "attendkey",
+    optional: Sequence[str] = P.OPTIONAL_KEYS,
+) -> DataFrame:
+    """One whole row per key combination (NULL equals NULL): the one with the lowest tiebreak, NULL last.
 
-    An aggregation, so copies are merged before the shuffle however many there are, and nothing is sorted as long as
-    the other columns are of fixed width.
+    Rows that tie are ordered by their other columns, so the result is one of the rows and always the same. An
+    aggregation: copies are merged before the shuffle however many there are. A key that is absent is an error, unless it
+    is ``optional``.
     """
-    keys = [k for k in keys if k in df.columns]
+    keys = resolve(df, keys, optional)
     rest = [c for c in df.columns if c not in keys and c != tiebreak]
-    first = [F.expr(f"min({tiebreak}) AS {tiebreak}"), *[F.expr(f"min_by({c}, {tiebreak}) AS {c}") for c in rest]]
-    return df.groupBy(*keys).agg(*first).select(*df.columns)
+    place = F.struct(F.col(tiebreak).isNull().alias("untied"), F.col(tiebreak).alias("tiebreak"), *rest)
+    first = df.groupBy(*keys).agg(F.min(place).alias("__first"))
+    return first.select(*[
+        F.col(c) if c in keys else F.col("__first.tiebreak").alias(c) if c == tiebreak else F.col(f"__first.{c}")
+        for c in df.columns
+    ])
 
 
 def in_population(df: DataFrame, patients: DataFrame, lanes: Lanes) -> DataFrame:
@@ -93,12 +113,9 @@ def before_death(df: DataFrame) -> DataFrame:
 def join_lookup(df: DataFrame, lookup: DataFrame, key: str = "tretspef", name: str = "tretspef_name") -> DataFrame:
     """Left join of a code name. Repeated lookup codes are reduced to one name, so rows never multiply.
 
-    The number of codes is checked with a small job on the lookup: up to ``MAX_BROADCAST_CODES`` it is broadcast,
-    since a shuffle by code would put each of the few codes in one task; beyond that Spark chooses the join.
+    Spark measures the distinct codes at run time and broadcasts them below its threshold.
     """
     names = lookup.groupBy(F.col(key).alias("__code")).agg(F.min(name).alias(name))
-    if lookup.limit(MAX_BROADCAST_CODES + 1).count() <= MAX_BROADCAST_CODES:
-        names = F.broadcast(names)
     return df.join(names, F.col(key).eqNullSafe(F.col("__code")), "left").drop("__code")
 
 

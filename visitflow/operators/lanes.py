@@ -25,6 +25,7 @@ LANE_COLUMNS = (KEY, LANE)
 
 # A heavy day is cut finer than its size asks for, so that uneven tiebreaks still give lanes below the limit.
 _CUTS_PER_LIMIT = 16
+_SAMPLES_PER_LIMIT = 512
 _WHOLE_ENTITY = -(1 << 62)
 _NO_LANE = _WHOLE_ENTITY + 2
 _UNDATED = 1 << 30
@@ -62,12 +63,14 @@ class Lanes:
         """Add the lane columns; a frame that already has them is returned as it is."""
         if LANE in df.columns:
             return df
-        days = self.hot_days.selectExpr(f"{self.key} AS __day_key", f"{self.date} AS __day", "__low", "__width")
+        days = self.hot_days.selectExpr(f"{self.key} AS __day_key", f"{self.date} AS __day", "__cuts")
         marked = self.with_hot_flag(df).join(
             F.broadcast(days), F.expr(f"{self.key} <=> __day_key AND {self.date} <=> __day"), "left"
         )
         day = f"CAST(coalesce(unix_date({self.date}), {_UNDATED}) AS bigint)"
-        block = f"CAST(coalesce(floor((CAST({self.tiebreak} AS double) - __low) / __width), 0) AS bigint)"
+        # An event without a tiebreak is the last of its day.
+        block = f"CAST(coalesce(if({self.tiebreak} IS NULL, size(__cuts) + 1, " \
+                f"size(filter(__cuts, c -> c <= {self.tiebreak}))), 0) AS bigint)"
         return marked.selectExpr(
             *df.columns,
             f"{self.plain_key(df)} AS {KEY}",
@@ -90,18 +93,19 @@ def plan_lanes(
 ) -> Lanes:
     """Find the heavy entities of ``events``: one narrow, pre-aggregated pass over the key column.
 
-    ``date`` must be a DATE column and ``tiebreak`` numeric; a heavy day is cut into equal ranges of the tiebreak.
+    ``date`` must be a DATE column; ``tiebreak`` may have any type with an order. A heavy day is cut at quantiles of its
+    tiebreaks, taken from those whose hash falls in a share of ``_SAMPLES_PER_LIMIT / limit``.
     """
     hot = events.groupBy(key).agg(F.expr("count(*) AS __n")).where(f"__n > {limit}").select(key)
     lanes = Lanes(key, date, tiebreak, hot, hot)
-    low = f"CAST(min({tiebreak}) AS double)"
-    width = f"(CAST(max({tiebreak}) AS double) - {low}) / ceil(count(*) * {_CUTS_PER_LIMIT} / {limit}) + 1D"
+    sample = f"CASE WHEN pmod(xxhash64({tiebreak}), {limit}) < {_SAMPLES_PER_LIMIT} THEN {tiebreak} END"
+    step = max(1, min(limit, _SAMPLES_PER_LIMIT) // _CUTS_PER_LIMIT)
     hot_days = (
         lanes.only_hot(events.select(key, date, tiebreak))
         .groupBy(key, date)
-        .agg(F.expr("count(*) AS __n"), F.expr(f"{low} AS __low"), F.expr(f"{width} AS __width"))
+        .agg(F.expr("count(*) AS __n"), F.expr(f"array_sort(collect_set({sample})) AS __seen"))
         .where(f"__n > {limit}")
-        .select(key, date, "__low", "__width")
+        .selectExpr(key, date, f"filter(__seen, (c, i) -> i % {step} = {step - 1}) AS __cuts")
     )
     return Lanes(key, date, tiebreak, hot, hot_days)
 

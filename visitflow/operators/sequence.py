@@ -58,6 +58,11 @@ class _Laned:
         return here.join(moved, F.expr(" AND ".join(same)), "left")
 
 
+def _order(lanes: Lanes) -> str:
+    """Place of an event in its lane, of one day: those without a tiebreak come last."""
+    return f"named_struct('untied', {lanes.tiebreak} IS NULL, 'tiebreak', {lanes.tiebreak})"
+
+
 def _fields(sources: Mapping[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{new}', {source}" for new, source in sources.items()) + ")"
 
@@ -74,27 +79,28 @@ def with_neighbours(
     """Add values of neighbouring events of the same entity.
 
     ``previous`` / ``following`` map a new column to the column read from the event before / after. ``earliest`` maps a
-    new struct column ``(undated, date, tiebreak)`` to the SQL condition whose first event it identifies; every row of
+    new struct column ``(undated, date, untied, tiebreak)`` to the SQL condition whose first event it identifies; every row of
     the entity gets it. ``size`` names a column with the number of events of the entity. One shuffle, one sort.
     """
     work = _Laned(df, lanes, by)
     local, parts, edges, final = {}, {}, {}, {}
     if previous:
         local["__at_start"] = f"row_number() OVER ({work.ordered}) = 1"
-        parts["__tail"] = f"max_by({_fields(previous)}, {lanes.tiebreak})"
+        parts["__tail"] = f"max_by({_fields(previous)}, {_order(lanes)})"
         edges["__before"] = f"lag(__tail) OVER ({work.across})"
         for new, source in previous.items():
             local[f"__lag_{new}"] = f"lag({source}) OVER ({work.ordered})"
             final[new] = f"if(__at_start, __before.{new}, __lag_{new})"
     if following:
         local["__at_end"] = f"lead(1) OVER ({work.ordered}) IS NULL"
-        parts["__head"] = f"min_by({_fields(following)}, {lanes.tiebreak})"
+        parts["__head"] = f"min_by({_fields(following)}, {_order(lanes)})"
         edges["__after"] = f"lead(__head) OVER ({work.across})"
         for new, source in following.items():
             local[f"__lead_{new}"] = f"lead({source}) OVER ({work.ordered})"
             final[new] = f"if(__at_end, __after.{new}, __lead_{new})"
     position = _fields({
-        "undated": f"{lanes.date} IS NULL", "date": lanes.date, "tiebreak": lanes.tiebreak,
+        "undated": f"{lanes.date} IS NULL", "date": lanes.date, "untied": f"{lanes.tiebreak} IS NULL",
+        "tiebreak": lanes.tiebreak,
     })
     for name, condition in (earliest or {}).items():
         first = f"min(CASE WHEN {condition} THEN {position} END)"
@@ -114,7 +120,7 @@ def with_neighbours(
 def fill_up_down(df: DataFrame, lanes: Lanes, by: Sequence[str], column: str) -> DataFrame:
     """Fill NULLs of ``column`` within the entity from the next known value, else from the last known one."""
     work = _Laned(df, lanes, by)
-    at = f"CASE WHEN {column} IS NOT NULL THEN {lanes.tiebreak} END"
+    at = f"CASE WHEN {column} IS NOT NULL THEN {_order(lanes)} END"
     joined = work.join_edges(
         local={
             "__next": f"first_value({column}) IGNORE NULLS OVER "

@@ -132,15 +132,13 @@ def crosstab_margins(df: DataFrame, row: str, column: str, levels: Sequence) ->
     """Two-way counts with row and column totals; rows with a NULL category are left out."""
     known = count_by(df.where(F.col(row).isNotNull() & F.col(column).isNotNull()), [row, column])
     cube = known.cube(row, column).agg(F.sum("n").alias("n"), F.grouping_id().alias("__g"))
-    cells = cube.select(
-        F.when(F.col("__g").bitwiseAND(2) > 0, TOTAL).otherwise(F.col(row)).alias(row),
-        F.when(F.col("__g").bitwiseAND(1) > 0, TOTAL).otherwise(F.col(column)).alias(column),
-        "n",
-    )
-    wanted = [*levels, TOTAL]
-    return cells.groupBy(row).agg(*[
-        F.coalesce(F.sum(F.when(F.col(column) == F.lit(v), F.col("n"))), F.lit(0)).alias(slug(v)) for v in wanted
+    # Totals are told by their flag: a category may have the total's name.
+    row_total, column_total = F.col("__g").bitwiseAND(2) > 0, F.col("__g").bitwiseAND(1) > 0
+    wanted = [*[(slug(v), ~column_total & (F.col(column) == F.lit(v))) for v in levels], (slug(TOTAL), column_total)]
+    wide = cube.groupBy(row, row_total.alias("__total")).agg(*[
+        F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias(name) for name, fits in wanted
     ])
+    return wide.withColumn(row, F.when(F.col("__total"), TOTAL).otherwise(F.col(row))).drop("__total")
 
 
 def crosstab_share(df: DataFrame, row: str, column: str, digits: int) -> DataFrame:
@@ -207,18 +205,29 @@ def transition_matrix(
     )
 
 
+def spread_shares(long: DataFrame, ids: Sequence[str], key: str, levels: Sequence[str], digits: int = 2) -> DataFrame:
+    """One row per id: the share of every level, raw and rounded."""
+    return long.groupBy(*ids).agg(*[
+        F.max(F.when(F.col(key) == F.lit(v), F.col(f"prop{suffix}"))).alias(f"{slug(v)}{suffix}")
+        for suffix in ("", f"_{digits}dp") for v in levels
+    ])
+
+
 def transition_matrix_wide(long: DataFrame, groups: Sequence[str], source: str, target: str, value: str,
                            levels: Sequence[str]) -> DataFrame:
     """One row per group and source level, one column per target level."""
     return spread(long, [*groups, "group_name", source], target, value, levels)
 
 
-def summary_table(df: DataFrame, variables: Sequence[str], stratum: str, strata: Sequence[str]) -> DataFrame:
+def summary_table(
+    df: DataFrame, variables: Sequence[str], stratum: str, strata: Sequence[str], with_missing: bool = False
+) -> DataFrame:
     """Counts and percentages of every level of every variable per stratum, in one pass; NULL is a level.
 
     A level that occurs in one stratum is listed with 0 in the others. ``text`` is the printed cell, ``45 (12.3)``.
+    ``with_missing`` adds the flag ``missing``, which tells NULL from a level of the same name.
     """
-    pairs = ", ".join(f"'{v}', coalesce(CAST({v} AS string), '{NA_TEXT}')" for v in variables)
+    pairs = ", ".join(f"'{v}', CAST({v} AS string)" for v in variables)
     carried = [stratum, WEIGHT] if WEIGHT in df.columns else [stratum]
     counts = (
         df.selectExpr(*carried, f"stack({len(variables)}, {pairs}) AS (variable, level)")
@@ -229,13 +238,18 @@ def summary_table(df: DataFrame, variables: Sequence[str], stratum: str, strata:
     whole = F.sum("n").over(Window.partitionBy("variable", stratum))
     percent = share(F.col("n") * F.lit(100), whole)
     shown = F.format_string("%d (%.1f)", F.col("n"), F.bround("percent", 1))
-    return long.withColumn("percent", percent).withColumn("text", shown)
+    named = long.withColumn("percent", percent).withColumn("text", shown).withColumn("missing", F.col("level").isNull())
+    named = named.withColumn("level", F.coalesce("level", F.lit(NA_TEXT)))
+    return named if with_missing else named.drop("missing")
 
 
 def summary_detail(summary: DataFrame, stratum: str) -> DataFrame:
-    """Per stratum and variable: rows, missing rows, and the running percentage over the ordered levels."""
+    """Per stratum and variable: rows, missing rows, and the running percentage over the ordered levels.
+
+    ``summary`` comes from ``summary_table`` with the flag ``missing``.
+    """
     group = Window.partitionBy("variable", stratum)
-    missing = F.col("level") == NA_TEXT
+    missing = F.col("missing")
     running = group.orderBy(
         missing, F.col("level").try_cast("int").asc_nulls_last(), "level"
     ).rowsBetween(Window.unboundedPreceding, 0)

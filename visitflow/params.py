@@ -41,6 +41,8 @@ DEDUPE_KEYS = (
     "patid", "admincat", "apptdate", "atentype", "attended", "dnadate", "firstatt", "outcome", "priority",
     "refsourc", "reqdate", "servtype", "stafftyp", "wait_ind", "waiting", "hes_yr", "tretspef", "mainspef",
 )
+# Keys that a table may lack.
+OPTIONAL_KEYS = ("dnadate", "mainspef", "wait_ind", "waiting")
 REQUIRED_FIELDS = ("tretspef", "firstatt", "attended")
 DROPPED_FIELDS = ("apptage", "atentype")
 SUMMARY_FIELDS = (

@@ -25,7 +25,9 @@ def cohort_attrition(
     until the step that removes them.
     """
     recoded = C.recode_sentinels(appointments)
-    keys = [k for k in P.DEDUPE_KEYS if k in recoded.columns]
+    keys = C.resolve(recoded, P.DEDUPE_KEYS, P.OPTIONAL_KEYS)
+    started = F.col("apptdate") >= F.lit(params.study_start) if params.include_start \
+        else F.col("apptdate") > F.lit(params.study_start)
     merged = recoded.groupBy(*keys).agg(
         F.min(lanes.tiebreak).alias(lanes.tiebreak), F.count(F.lit(1)).alias("__copies")
     )
@@ -40,7 +42,7 @@ def cohort_attrition(
         "before_death": (F.col("apptdate") < F.col("ons_dod")) | F.col("ons_dod").isNull(),
         "specialty": F.col("tretspef") == params.specialty,
         "type": F.col("diabetes_type").isin(list(params.types)),
-        "study": F.col("apptdate") > F.lit(params.study_start),
+        "study": started,
         "clinic": F.col("apptdate").between(F.lit(params.sim_start), F.lit(params.sim_end)),
     }, "patid", copies="__copies", merged_at="without_copies")
 

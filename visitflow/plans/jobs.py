@@ -91,7 +91,7 @@ def count_cells(data: Staged, params: P.StudyParams, folder: str) -> dict[str, D
     counted = {
         name: write_table(T.cells(df, columns), f"{folder}/cells/{name}") for name, (df, columns) in wanted.items()
     }
-    summary = T.summary_table(period, _summary_fields(data), R.TYPE, params.types)
+    summary = T.summary_table(period, _summary_fields(data), R.TYPE, params.types, with_missing=True)
     return counted | {"summary_specialty": write_table(summary, f"{folder}/cells/summary_specialty")}
 
 
@@ -121,7 +121,7 @@ def result_tables(
         "events_per_patient": R.events_per_patient(period_rows),
         "follow_ups_per_patient": R.follow_ups_per_patient(period_rows),
         "summary_all": T.summary_table(all_rows, _summary_fields(data), R.TYPE, params.types),
-        "summary_specialty": counted["summary_specialty"],
+        "summary_specialty": counted["summary_specialty"].drop("missing"),
         "summary_detail": T.summary_detail(counted["summary_specialty"], R.TYPE),
         "null_profile": Q.null_profile(without_lanes(data.derived)),
         "raw_null_profile": Q.null_profile(sources.appointments),
@@ -168,7 +168,8 @@ def run(
 ) -> dict[str, str]:
     """Stage everything and write the result tables as CSV; returns the folder of each table.
 
-    The transition matrices get one subfolder per group.
+    The transition matrices get one subfolder per group. Without ``folder`` the one in ``spark.checkpoint.dir`` is used; it
+    is an error if neither is named.
     """
     spark = sources.appointments.sparkSession
     folder = folder or f"{checkpoint_folder(spark)}/visitflow"

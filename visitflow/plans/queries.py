@@ -590,9 +590,9 @@ def _(i):
     return T.summary_table(i.described, P.SUMMARY_FIELDS, "diabetes_type", STUDY.types)
 
 
-def _specialty_summary(i: Inputs) -> DataFrame:
+def _specialty_summary(i: Inputs, with_missing: bool = False) -> DataFrame:
     one = i.described.where(F.col("tretspef") == STUDY.specialty).withColumn("stratum", F.col("diabetes_type"))
-    return T.summary_table(one, [*P.SUMMARY_FIELDS, "diabetes_type"], "stratum", STUDY.types)
+    return T.summary_table(one, [*P.SUMMARY_FIELDS, "diabetes_type"], "stratum", STUDY.types, with_missing)
 
 
 @query("table_one_specialty")
@@ -602,7 +602,7 @@ def _(i):
 
 @query("table_one_detail")
 def _(i):
-    return T.summary_detail(_specialty_summary(i), "stratum")
+    return T.summary_detail(_specialty_summary(i, with_missing=True), "stratum")
 
 
 @query("table_one_continuous")

@@ -81,7 +81,7 @@ def attendance_by_last_counts(events: DataFrame) -> DataFrame:
 
 def attendance_by_last_shares(events: DataFrame) -> DataFrame:
     shares = T.share_within(of_kind(events, P.FOLLOW_UP), [LAST], [STATUS])
-    return T.spread(shares, [LAST], STATUS, "prop", P.ATTENDANCE_LEVELS)
+    return T.spread_shares(shares, [LAST], STATUS, P.ATTENDANCE_LEVELS)
 
 
 def new_attendance_percent(events: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def new_next_counts(events: DataFrame) -> DataFrame:
 
 def new_next_shares(events: DataFrame) -> DataFrame:
     shares = T.share_within(_new_and_attended(events), [TYPE], [NEXT])
-    return T.spread(shares, [TYPE], NEXT, "prop", P.NEXT_LEVELS)
+    return T.spread_shares(shares, [TYPE], NEXT, P.NEXT_LEVELS)
 
 
 def transition_shares(cohort: DataFrame) -> DataFrame:

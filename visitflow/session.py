@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -35,6 +33,8 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a run without one would scatter its files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="visitflow-")
+    if not folder:
+        raise ValueError("name a folder for the results, or set spark.checkpoint.dir to a shared folder")
+    return folder
