@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import held_out, sums_by_list, text_slices, training_text, words_of
+from visitflow.llm.common import about, held_out, sums_by_list, text_slices, training_text, words_of
 from visitflow.llm.crf import Crf, train
 
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 2000
@@ -30,8 +30,9 @@ SEGMENTS = "segments array<struct<lang string, first int, words int>>"
 def labelled_sample(docs: DataFrame, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> pa.Table:
     """(text, lang) of at most ``n`` rows that are labelled and not held out, in the order of a hash of their id."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
+    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     return (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+        labelled.filter(about(labelled, order, n) & F.col("text").isNotNull())
         .select(order.alias("o"), training_text(F.col("text"), order, chars).alias("text"), "lang")
         .orderBy("o", "lang", "text").limit(n).select("text", "lang").toArrow()
     )

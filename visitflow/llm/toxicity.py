@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import held_out, text_slices, training_text, words_of
+from visitflow.llm.common import about, held_out, text_slices, training_text, words_of
 from visitflow.llm.crf import Crf, train
 
 SAMPLE_DOCS, SAMPLE_CHARS = 6000, 16000
@@ -46,8 +46,9 @@ class Tagger:
 def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> pa.Table:
     """(text, toxic) of at most ``n`` labels that are not held out. The chosen labels, ``n`` at most, are broadcast."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = (
-        labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        usable.filter(about(usable, order, n))
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), order.alias("o"))
         .orderBy("o", "toxic").limit(n)
     )
