@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitflow.operators.lanes import plan_lanes
+from visitflow.operators.timeline import gather_weeks, week_grid
 from visitflow.plans import datasets as D
 from visitflow.plans import jobs
 from visitflow.plans.queries import all_queries
@@ -18,7 +19,7 @@ def written(spark, sf_dir, tmp_path_factory):
         X.appointments(spark, sf_dir), X.patients(spark, sf_dir), X.patient_types(spark, sf_dir),
         X.specialties(spark, sf_dir),
     )
-    return jobs.run(sources, X.STUDY, str(tmp_path_factory.mktemp("run")), lane_rows=5)
+    return jobs.run(sources, X.STUDY, str(tmp_path_factory.mktemp("run")), lane_rows=5, prefix="visitflow")
 
 
 def read(spark, path, schema):
@@ -32,7 +33,8 @@ PAIRS = {
     "missed_gap_clinic": "missed_gap_mean_cl", "missed_gap_study": "missed_gap_mean_st",
     "weekly_all_years_kind": "weekly_firstatt", "weekly_imputed_kind_outcome": "imputed_weekly_firstatt_outcome",
     "weekly_check_cohort_outcome": "cohort_weekly_outcome", "events_per_patient": "mean_appts_per_patient",
-    "attendance_percent_type1": "attendance_pct_type1", "patient_timeline": "cumulative_timeline",
+    "attendance_percent_type1": "attendance_pct_type1", "backfill_audit": "backfill_audit",
+    "attendance_share_by_status": "crosstab_prop_transposed",
 }
 
 
@@ -62,6 +64,23 @@ def test_steps_on_staged_tables_do_not_shuffle_events(spark, written, limit):
         assert "REPARTITION" not in final
 
 
+def test_timelines_are_staged_as_parquet(spark, sf_dir, written):
+    data = written["weekly_new"].rsplit("/results/", 1)[0] + "/data"
+    for folder, name in (("timeline", "patient_week_grid"), ("running_totals", "cumulative_timeline")):
+        expected = all_queries()[name](spark, sf_dir)
+        got = spark.read.parquet(f"{data}/{folder}")
+        if folder == "running_totals":
+            got = gather_weeks(got, ["patid", "diabetes_type"], "sim_week", "cumulative_appt_count", X.STUDY.sim_weeks)
+        got = got.select(*expected.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_small_counts_are_raised_on_request_and_keys_are_not(spark):
+    table = spark.createDataFrame([(3, 2, 0.5, 0), (4, 12, 0.1, 1)], "week bigint, n bigint, share double, new bigint")
+    assert [tuple(r) for r in jobs.protected(table, 10).collect()] == [(3, 10, 0.5, 0), (4, 12, 0.1, 10)]
+    assert jobs.protected(table, None) is table
+
+
 def test_one_folder_per_matrix(spark, written):
     groups = {path.rsplit("=", 1)[1] for path in glob.glob(f"{written['transition_prop']}/group_name=*")}
     assert {"New_type1", "New_type2"} <= groups and any("Follow" in g for g in groups)
@@ -99,3 +118,12 @@ def test_declared_schema_reads_raw_appointments(spark, sf_dir, tmp_path):
     table = S.read_table(spark, path, S.APPOINTMENTS)
     assert table.count() == spark.read.parquet(path).count()
     assert table.agg(F.count("dnadate")).first()[0] == 0
+
+
+def test_grid_counts_what_lies_outside_the_weeks_as_before(spark):
+    """Running totals take in earlier weeks; an entity without a known week has zeros."""
+    df = spark.createDataFrame([(1, 0), (1, 2), (1, 2), (1, 9), (2, None), (None, 1)], "id int, w int")
+    plain = {(r.id, r.w): r.n for r in week_grid(df, ["id"], "w", 3).collect()}
+    total = {(r.id, r.w): r.n for r in week_grid(df, ["id"], "w", 3, running=True).collect()}
+    assert plain == {(1, 1): 0, (1, 2): 2, (1, 3): 0, **{(2, w): 0 for w in (1, 2, 3)}, (None, 1): 1, (None, 2): 0, (None, 3): 0}
+    assert total == {(1, 1): 1, (1, 2): 3, (1, 3): 3, **{(2, w): 0 for w in (1, 2, 3)}, **{(None, w): 1 for w in (1, 2, 3)}}

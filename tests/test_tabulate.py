@@ -154,3 +154,15 @@ def test_total_and_missing_names_as_values(spark):
     summary = T.summary_table(rows, ["v"], "g", ["s"], with_missing=True)
     assert sorted((r.level, r.missing, r.n) for r in summary.collect()) == [("NA", False, 1), ("NA", True, 1), ("x", False, 1)]
     assert {(r.miss, r.n) for r in T.summary_detail(summary, "g").collect()} == {(1, 3)}
+
+
+def test_levels_that_are_not_listed_are_an_error(spark):
+    df = spark.createDataFrame([("a", "p"), ("a", None), ("b", "zz")], "k string, v string")
+    assert [tuple(r) for r in T.tabulate(df.where("k = 'a'"), "k", "v", ["p"]).collect()] == [("a", 1, 1)]
+    with pytest.raises(Exception, match="not listed"):
+        T.tabulate(df, "k", "v", ["p"]).collect()
+
+
+def test_levels_with_one_column_name_are_an_error(spark):
+    with pytest.raises(ValueError, match="column name"):
+        T.tabulate(spark.createDataFrame([("a", "1 week")], "k string, v string"), "k", "v", ["1 week", "1_week"])

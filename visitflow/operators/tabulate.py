@@ -53,9 +53,29 @@ def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(n_events(df).alias(name))
 
 
+def slugs(levels: Sequence) -> list[str]:
+    names = [slug(v) for v in levels]
+    if len({*names, NA_COLUMN}) <= len(names):
+        raise ValueError(f"levels share a column name: {', '.join(names)}")
+    return names
+
+
+def listed(column: str, levels: Sequence, value: Column) -> Column:
+    """The aggregate ``value``; an error if ``column`` holds a known level that is not in the list."""
+    unlisted = F.count_if(~F.col(column).isin(list(levels)))
+    message = F.concat(F.lit(f"{column} has levels that are not listed, rows: "), unlisted.cast("string"))
+    return F.when(unlisted > 0, F.raise_error(message)).otherwise(value)
+
+
 def level_counts(df: DataFrame, column: str, levels: Sequence, with_na: bool = False) -> dict[str, Column]:
-    """One count per level as aggregate columns: a pivot in a single aggregation, absent cells 0."""
-    counts = {slug(level): n_events_if(df, F.col(column) == F.lit(level)) for level in levels}
+    """One count per level as aggregate columns: a pivot in a single aggregation, absent cells 0.
+
+    A known value that is not in ``levels`` is an error, so that no row leaves the table or its shares unseen.
+    """
+    counts = {
+        name: listed(column, levels, n_events_if(df, F.col(column) == F.lit(level)))
+        for name, level in zip(slugs(levels), levels, strict=True)
+    }
     if with_na:
         counts[NA_COLUMN] = n_events_if(df, F.col(column).isNull())
     return counts
@@ -161,8 +181,14 @@ def share_within(df: DataFrame, outer: Sequence[str], inner: Sequence[str], digi
 
 
 def spread(table: DataFrame, ids: Sequence[str], key: str, value: str, levels: Sequence) -> DataFrame:
-    """Long to wide with a fixed level list; absent cells are NULL. Without ids the result is one row."""
-    cells = [F.first(F.when(F.col(key) == F.lit(v), F.col(value)), ignorenulls=True).alias(slug(v)) for v in levels]
+    """Long to wide with a fixed level list; absent cells are NULL, a level that is not listed is an error.
+
+    Without ids the result is one row.
+    """
+    cells = [
+        listed(key, levels, F.first(F.when(F.col(key) == F.lit(v), F.col(value)), ignorenulls=True)).alias(name)
+        for name, v in zip(slugs(levels), levels, strict=True)
+    ]
     return table.groupBy(*ids).agg(*cells)
 
 
@@ -208,8 +234,8 @@ def transition_matrix(
 def spread_shares(long: DataFrame, ids: Sequence[str], key: str, levels: Sequence[str], digits: int = 2) -> DataFrame:
     """One row per id: the share of every level, raw and rounded."""
     return long.groupBy(*ids).agg(*[
-        F.max(F.when(F.col(key) == F.lit(v), F.col(f"prop{suffix}"))).alias(f"{slug(v)}{suffix}")
-        for suffix in ("", f"_{digits}dp") for v in levels
+        listed(key, levels, F.max(F.when(F.col(key) == F.lit(v), F.col(f"prop{suffix}")))).alias(f"{name}{suffix}")
+        for suffix in ("", f"_{digits}dp") for name, v in zip(slugs(levels), levels, strict=True)
     ])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -14,7 +15,7 @@ from visitflow.operators import cleaning as C
 from visitflow.operators import quality as Q
 from visitflow.operators import tabulate as T
 from visitflow.operators.lanes import DEFAULT_LIMIT, LANE_COLUMNS, Lanes, plan_lanes, stage_lanes, without_lanes
-from visitflow.operators.timeline import week_grid
+from visitflow.operators.timeline import week_grid, week_matrix
 from visitflow.plans import datasets as D
 from visitflow.plans import tables as R
 from visitflow.session import checkpoint_folder
@@ -24,6 +25,8 @@ PERIOD_CELLS = ("diabetes_type", "firstatt_agg", "attended", "attended_agg")
 STUDY_CELLS = ("diabetes_type", "firstatt_agg", "attended_agg", R.LAST, R.NEXT, "cancel_dna_interval")
 COHORT_CELLS = (*STUDY_CELLS, "sim_week", "flag_first_appt_sim")
 CHECK_CELLS = ("apptdate", "year", "week", "diabetes_type", "firstatt_agg")
+# Whole numbers of the result tables that are no counts of rows.
+NO_COUNTS = ("patid", "year", "week", "step", "firstatt_agg", "outcome", "outcome2", "discharged", "flag_first_appt_sim", R.WEEK)
 
 
 @dataclass(frozen=True)
@@ -43,16 +46,21 @@ class Staged:
     derived: DataFrame
     study: DataFrame
     cohort: DataFrame
+    timeline: DataFrame
+    running: DataFrame
 
 
 def stage(
-    sources: Sources, params: P.StudyParams, folder: str, lane_rows: int = DEFAULT_LIMIT, prefix: str = "visitflow"
+    sources: Sources, params: P.StudyParams, folder: str, lane_rows: int = DEFAULT_LIMIT, prefix: str | None = None
 ) -> Staged:
-    """Write cleaned, derived, study and cohort data, lane columns included, in that order.
+    """Write cleaned, derived, study and cohort data, lane columns included, and the patients' timelines, in that order.
 
+    The timelines are the weekly counts (long) and the running totals (a column per week). Without ``prefix`` the tables
+    get a name of their own, so that two runs never share one.
     Cleaned and study data are bucketed by lane (tables ``<prefix>_cleaned`` and ``<prefix>_study``): the sequence
     steps that read them need no shuffle.
     """
+    prefix = prefix or f"visitflow_{uuid.uuid4().hex}"
     lanes = stage_lanes(plan_lanes(sources.appointments, limit=lane_rows), f"{folder}/lanes")
     cleaned = write_bucketed(
         C.clean_appointments(
@@ -68,7 +76,10 @@ def stage(
     )
     in_window = D.clinic_cohort(study, params, lanes).drop("cancel_dna_next_apptdate", "cancel_dna_interval")
     cohort = write_table(D.cohort_sequence(in_window, lanes), f"{folder}/cohort")
-    return Staged(lanes, cleaned, derived, study, cohort)
+    ids = ["patid", R.TYPE]
+    timeline = write_table(week_grid(cohort, ids, R.WEEK, params.sim_weeks, "app_count"), f"{folder}/timeline")
+    running = write_table(week_matrix(cohort, ids, R.WEEK, params.sim_weeks, running=True), f"{folder}/running_totals")
+    return Staged(lanes, cleaned, derived, study, cohort, timeline, running)
 
 
 def count_cells(data: Staged, params: P.StudyParams, folder: str) -> dict[str, DataFrame]:
@@ -91,7 +102,8 @@ def count_cells(data: Staged, params: P.StudyParams, folder: str) -> dict[str, D
     counted = {
         name: write_table(T.cells(df, columns), f"{folder}/cells/{name}") for name, (df, columns) in wanted.items()
     }
-    summary = T.summary_table(period, _summary_fields(data), R.TYPE, params.types, with_missing=True)
+    strata = period.withColumn("stratum", F.col(R.TYPE))
+    summary = T.summary_table(strata, [*_summary_fields(data), R.TYPE], "stratum", params.types, with_missing=True)
     return counted | {"summary_specialty": write_table(summary, f"{folder}/cells/summary_specialty")}
 
 
@@ -114,6 +126,7 @@ def result_tables(
         "attendance_margins": T.crosstab_margins(period, R.TYPE, R.STATUS, P.ATTENDANCE_LEVELS),
         "attendance_margins_by_status": T.crosstab_margins(period, R.STATUS, R.TYPE, params.types),
         "attendance_share": T.crosstab_share(period, R.TYPE, R.STATUS, 3),
+        "attendance_share_by_status": R.attendance_share_by_status(period, params),
         "follow_up_ratio": R.follow_up_ratio(period),
         "follow_up_ratio_attended": R.follow_up_ratio(C.attended_only(period)),
         "attendance_percent": R.attendance_percent_by_type(period),
@@ -122,7 +135,8 @@ def result_tables(
         "follow_ups_per_patient": R.follow_ups_per_patient(period_rows),
         "summary_all": T.summary_table(all_rows, _summary_fields(data), R.TYPE, params.types),
         "summary_specialty": counted["summary_specialty"].drop("missing"),
-        "summary_detail": T.summary_detail(counted["summary_specialty"], R.TYPE),
+        "summary_detail": T.summary_detail(counted["summary_specialty"], "stratum"),
+        "backfill_audit": R.backfill_audit(data.derived),
         "null_profile": Q.null_profile(without_lanes(data.derived)),
         "raw_null_profile": Q.null_profile(sources.appointments),
         "attrition": D.cohort_attrition(
@@ -132,9 +146,6 @@ def result_tables(
         "weekly_existing_index": R.weekly_existing_index(cohort, params),
         "cumulative_by_week": R.cumulative_by_week(cohort, params),
         "count_by_week": R.count_by_week(cohort),
-        "patient_timeline": week_grid(
-            data.cohort, ["patid", R.TYPE], R.WEEK, params.sim_weeks, "cumulative_appt_count", running=True
-        ),
     }
     for end, events in (("clinic", cohort), ("study", study)):
         tables |= {
@@ -162,12 +173,20 @@ def result_tables(
     return tables
 
 
+def protected(table: DataFrame, floor: int | None) -> DataFrame:
+    """``table`` with its small counts raised to ``floor``; unchanged without one."""
+    counts = [f.name for f in table.schema if f.dataType.typeName() == "long" and f.name not in NO_COUNTS]
+    return Q.suppress_small_cells(table, counts, floor) if floor and counts else table
+
+
 def run(
     sources: Sources, params: P.StudyParams, folder: str | None = None, lane_rows: int = DEFAULT_LIMIT,
-    prefix: str = "visitflow",
+    prefix: str | None = None, small_cell: int | None = None,
 ) -> dict[str, str]:
     """Stage everything and write the result tables as CSV; returns the folder of each table.
 
+    With ``small_cell`` counts from 1 to below it are written as ``small_cell``. Shares, means and printed cells are of the
+    counts as they are, and counts inside a printed cell are not raised: leave those tables out of a release.
     The transition matrices get one subfolder per group. Without ``folder`` the one in ``spark.checkpoint.dir`` is used; it
     is an error if neither is named.
     """
@@ -178,9 +197,10 @@ def run(
     written = {}
     for name, table in result_tables(sources, data, counted, params).items():
         written[name] = f"{folder}/results/{name}"
-        write_result_csv(table, written[name])
+        write_result_csv(protected(table, small_cell), written[name])
     for measure in ("prop", "count"):
         name = f"transition_{measure}"
         written[name] = f"{folder}/results/{name}"
-        write_result_csv(R.transition_wide(counted["cohort"], measure), written[name], ["group_name"])
+        wide = R.transition_wide(counted["cohort"], measure)
+        write_result_csv(protected(wide, small_cell), written[name], ["group_name"])
     return written

@@ -25,7 +25,7 @@ ID = ["patid", "attendkey", "apptdate"]
 
 
 class Inputs:
-    """Lazily built datasets of one test-table folder; building one starts no Spark job but the lookup size check."""
+    """Lazily built datasets of one test-table folder; building one starts no Spark job."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -322,18 +322,7 @@ def _(i):
 
 @query("backfill_audit")
 def _(i):
-    """Discharge flag by type of the next event, before and after the backfill, counted in one pass."""
-    counted = i.derived.select(
-        "lead_firstatt",
-        F.explode(F.array(
-            F.struct(F.lit("before").alias("stage"), F.col("discharged_coded").alias("discharged")),
-            F.struct(F.lit("after").alias("stage"), F.col("discharged").alias("discharged")),
-        )).alias("flag"),
-    )
-    counts = T.level_counts(counted, "lead_firstatt", (1, 2, 3, 4, 5), with_na=True)
-    return counted.groupBy("flag.stage", "flag.discharged").agg(*[
-        n.alias(name if name == T.NA_COLUMN else f"next_{name}") for name, n in counts.items()
-    ])
+    return R.backfill_audit(i.derived)
 
 
 @query("derive_sequence")
@@ -469,8 +458,7 @@ def _(i):
 
 @query("crosstab_prop_transposed")
 def _(i):
-    long = T.crosstab_share(i.period, "attended_agg", "diabetes_type", 3)
-    return T.spread(long, ["attended_agg"], "diabetes_type", "prop_3dp", STUDY.types)
+    return R.attendance_share_by_status(i.period, STUDY)
 
 
 @query("complete_combinations")

@@ -26,6 +26,26 @@ def of_kind(events: DataFrame, kind: str) -> DataFrame:
 # --- Descriptives ------------------------------------------------------------------------------------
 
 
+def backfill_audit(derived: DataFrame) -> DataFrame:
+    """Discharge flag by type of the next event, before and after the backfill, counted in one pass."""
+    counted = derived.select(
+        "lead_firstatt",
+        F.explode(F.array(
+            F.struct(F.lit("before").alias("stage"), F.col("discharged_coded").alias("discharged")),
+            F.struct(F.lit("after").alias("stage"), F.col("discharged").alias("discharged")),
+        )).alias("flag"),
+    )
+    counts = T.level_counts(counted, "lead_firstatt", (1, 2, 3, 4, 5), with_na=True)
+    return counted.groupBy("flag.stage", "flag.discharged").agg(*[
+        n.alias(name if name == T.NA_COLUMN else f"next_{name}") for name, n in counts.items()
+    ])
+
+
+def attendance_share_by_status(period: DataFrame, params: P.StudyParams) -> DataFrame:
+    """Shares of the grand total, one row per attendance and one column per type."""
+    return T.spread(T.crosstab_share(period, STATUS, TYPE, 3), [STATUS], TYPE, "prop_3dp", params.types)
+
+
 def kinds_by_type(period: DataFrame) -> DataFrame:
     return T.tabulate(period, TYPE, KIND, P.TYPE_LEVELS)
 
