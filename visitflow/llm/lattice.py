@@ -112,9 +112,9 @@ def _compare(least: float):
         _, low, high = keys
         rows = rows.drop_duplicates(["id", "home"])
         left, right = rows[rows.part == low], rows[rows.part == high]
-        a, b = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy()) if len(right) else np.zeros((0, 1))
-        if not len(right):
+        if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        a, b = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy())
         x, y = np.nonzero((a @ b.T >= least) & (left.home.to_numpy()[:, None] | right.home.to_numpy()[None]))
         one, two = left.id.to_numpy()[x], right.id.to_numpy()[y]
         pairs = pd.DataFrame({"a": np.maximum(one, two), "b": np.minimum(one, two)})
