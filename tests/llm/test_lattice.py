@@ -1,6 +1,7 @@
 """Lattice hashing against all pairs in double precision."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.test_simhash import brute_components
@@ -58,3 +59,10 @@ def test_special_vectors(spark):
     assert all(found[i] == (0, i, True) for i in range(4, 13))
     assert lattice.near_vectors(frame.limit(0)).count() == 0
     assert brute_components({1: 0, 2: 1}, 2) == {1: 1, 2: 1}
+
+
+def test_a_pair_of_blocks_may_lack_a_side():
+    row = {"id": 1, "home": True, "v": np.ones(2) / np.sqrt(2)}
+    for part in (0, 1):
+        found = lattice._compare(0.95)((7, 0, 1), pd.DataFrame([{**row, "part": part}]))
+        assert list(found.columns) == ["a", "b"] and found.empty
