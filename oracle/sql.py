@@ -415,6 +415,7 @@ def _plain() -> dict[str, str]:
                 CAST(count(*) FILTER (WHERE lead_firstatt IS NULL) AS BIGINT) AS na_ FROM derived GROUP BY {column}"""
             for stage, column in (("before", "discharged_coded"), ("after", "discharged")))),
         "derive_sequence": derived("SELECT * EXCLUDE (tretspef_name) FROM derived"),
+        "derive_sequence_in_lanes": derived("SELECT * EXCLUDE (tretspef_name) FROM derived"),
         "study_dataset": _on("SELECT * EXCLUDE (tretspef_name) FROM study", "study"),
         "clinic_cohort": _on("SELECT * EXCLUDE (tretspef_name) FROM cohort", "cohort"),
         "clinic_cohort_without_discharged": _on(f"""SELECT {key}, sim_week FROM cohort WHERE patid NOT IN

@@ -15,20 +15,22 @@ from visitflow.operators import quality as Q
 from visitflow.operators import sequence as E
 from visitflow.operators import tabulate as T
 from visitflow.operators import timeline as L
-from visitflow.operators.lanes import attach, plan_lanes, without_lanes
+from visitflow.operators.lanes import DEFAULT_LIMIT, attach, plan_lanes, without_lanes
 from visitflow.plans import datasets as D
 from visitflow.plans import tables as R
 from visitflow.sources import fixtures as X
 
 STUDY = X.STUDY
 ID = ["patid", "attendkey", "apptdate"]
+#: Rows above which a patient is cut into lanes in ``derive_sequence_in_lanes``, so low that the test tables have such patients.
+LOW_LANE_LIMIT = 60
 
 
 class Inputs:
     """Lazily built datasets of one test-table folder; building one starts no Spark job."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, lane_limit: int = DEFAULT_LIMIT):
+        self.spark, self.sf_dir, self.lane_limit = spark, sf_dir, lane_limit
 
     @cached_property
     def raw(self):
@@ -48,7 +50,7 @@ class Inputs:
 
     @cached_property
     def lanes(self):
-        return plan_lanes(self.raw)
+        return plan_lanes(self.raw, limit=self.lane_limit)
 
     @cached_property
     def cleaned(self):
@@ -330,6 +332,11 @@ def _(i):
     return without_lanes(i.derived)
 
 
+@query("derive_sequence_in_lanes")
+def _(i):
+    return without_lanes(Inputs(i.spark, i.sf_dir, LOW_LANE_LIMIT).derived)
+
+
 @query("study_dataset")
 def _(i):
     return without_lanes(i.study)
