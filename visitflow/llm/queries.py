@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitflow.llm import decontaminate, language_id, lattice, packing, simhash, substring_dedup, suffix_dedup
+from visitflow.llm import decontaminate, importance_resampling, language_id, lattice, packing, simhash, substring_dedup
+from visitflow.llm import suffix_dedup
 from visitflow.llm import token_counts, toxicity, url_filter
 from visitflow.llm.common import held_out
 
@@ -73,10 +74,14 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), tokenizer_bytes("word_bpe_49k.json"), end_id=2)
 
 
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_language_id, op3_token_counts, op4_simhash, op5_toxicity, op6_suffix_dedup,
-        op7_substring_dedup, op8_lattice, op9_decontamination, op10_packing)
+        op7_substring_dedup, op8_lattice, op9_decontamination, op10_packing, op13_importance_resampling)
 }
 
 OP1_SQL = r"""
@@ -130,4 +135,48 @@ SELECT page_id, host, path, rule,
 FROM ruled JOIN verdicts USING (host)
 """
 
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}
+# The CRC's table is built from its polynomial; a word's bytes are read from its hexadecimal digits.
+OP13_SQL = r"""
+WITH table256 AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)
+        ORDER BY i) AS t
+    FROM range(256) r(i)),
+runs AS (
+    SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+    FROM documents
+    UNION ALL
+    SELECT 'b', NULL, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))
+    FROM benchmark),
+words AS (SELECT DISTINCT word, hex(encode(word)) AS digits FROM runs),
+hashed AS (
+    SELECT word, xor(list_reduce(
+        list_transform(range(len(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM words, table256),
+counted AS (
+    SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+    FROM runs JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM counted),
+gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+    FROM counted, totals),
+weighed AS (
+    SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+    FROM runs JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+    SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln(
+            (('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM documents d LEFT JOIN weighed w USING (doc_id)),
+placed AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+    FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op13_importance_resampling": OP13_SQL}
