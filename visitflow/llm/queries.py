@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from visitflow.llm import decontaminate, importance_resampling, language_id, lattice, packing, simhash, substring_dedup
 from visitflow.llm import suffix_dedup
-from visitflow.llm import token_counts, toxicity, url_filter
+from visitflow.llm import token_counts, toxicity, url_filter, whitening
 from visitflow.llm.common import held_out
 
 RULES = (
@@ -74,6 +74,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), tokenizer_bytes("word_bpe_49k.json"), end_id=2)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -81,7 +85,8 @@ def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_language_id, op3_token_counts, op4_simhash, op5_toxicity, op6_suffix_dedup,
-        op7_substring_dedup, op8_lattice, op9_decontamination, op10_packing, op13_importance_resampling)
+        op7_substring_dedup, op8_lattice, op9_decontamination, op10_packing, op11_whitening,
+        op13_importance_resampling)
 }
 
 OP1_SQL = r"""
