@@ -7,9 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitflow.llm import decontaminate, importance_resampling, language_id, lattice, packing, simhash, substring_dedup
-from visitflow.llm import suffix_dedup
-from visitflow.llm import token_counts, toxicity, url_filter, whitening
+from visitflow.llm import context_mixing, decontaminate, importance_resampling, language_id, lattice, packing, simhash
+from visitflow.llm import substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from visitflow.llm.common import held_out
 
 RULES = (
@@ -78,6 +77,10 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.score_texts(table(spark, folder, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -85,7 +88,7 @@ def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_language_id, op3_token_counts, op4_simhash, op5_toxicity, op6_suffix_dedup,
-        op7_substring_dedup, op8_lattice, op9_decontamination, op10_packing, op11_whitening,
+        op7_substring_dedup, op8_lattice, op9_decontamination, op10_packing, op11_whitening, op12_lm_scoring,
         op13_importance_resampling)
 }
 
