@@ -8,8 +8,8 @@ from __future__ import annotations
 from visitflow.sources import fixtures as X
 
 S = X.STUDY
-KEYS = "patid, admincat, apptdate, atentype, attended, firstatt, outcome, priority, refsourc, reqdate, servtype, " \
-       "stafftyp, hes_yr, tretspef"
+KEYS = "patid, admincat, apptdate, atentype, attended, dnadate, firstatt, outcome, priority, refsourc, reqdate, " \
+       "servtype, stafftyp, wait_ind, waiting, hes_yr, tretspef, mainspef"
 STATUS = {"attended": "Attended", "cancelled": "Cancelled", "did_not_attend": "Did Not Attend"}
 KIND = {"new": "New", "follow_up": "Follow up"}
 BANDS = {"1_week": "1 week", "1_month": "1 month", "3_months": "3 months", "6_months": "6 months",

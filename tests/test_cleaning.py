@@ -3,9 +3,11 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from visitflow import params as P
 from visitflow.operators import cleaning as C
 from visitflow.operators.lanes import attach, plan_lanes
 from visitflow.operators.sequence import top_1_per_group
+from visitflow.sources.fixtures import APPOINTMENT_RULES
 
 EVENTS = "patid bigint, attendkey bigint, apptdate date"
 
@@ -118,3 +120,29 @@ def test_keys_in_any_letter_case(spark):
     assert {r.Attended for r in C.recode_sentinels(rows).collect()} == {None}
     with pytest.raises(ValueError, match="absent"):
         C.dedupe_keep_first(rows, ["patid", "priority"])
+
+
+def test_numbers_and_dates_beside_the_keys_need_no_sort(spark):
+    rows = [
+        (1, 7, 5, date(2020, 1, 2)), (1, 7, 5, date(2020, 1, 1)), (1, 7, None, date(2030, 1, 1)), (2, None, 1, None),
+        (2, None, -1, date(1900, 1, 1)), (2, None, -1, None), (3, None, 9, None), (3, -(1 << 31), 8, None), (3, (1 << 31) - 1, 0, None),
+        (None, 0, 0, None), (None, -1, 2147483647, date(2020, 1, 1)), (None, -1, -2147483648, None), (None, -1, None, None),
+    ]
+    df = spark.createDataFrame(rows, "k int, attendkey int, u int, d date").repartition(5)
+    kept = C.dedupe_keep_first(df, ["k"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    first = lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or 0, r[3] is not None, r[3] or date.min)
+    wanted = {k: min((r for r in rows if r[0] == k), key=first) for k in {r[0] for r in rows}}
+    assert {r.k: tuple(r) for r in kept.collect()} == wanted
+
+
+def test_keys_and_tiebreak_alone_need_no_sort(spark):
+    df = spark.createDataFrame([(1, 2), (1, None), (1, 1), (2, None), (2, None)], "k int, attendkey bigint")
+    kept = C.dedupe_keep_first(df, ["k"])
+    assert "SortAggregate" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect())) == [(1, 1), (2, None)]
+
+
+def test_all_keys_are_in_the_mapping():
+    assert set(P.DEDUPE_KEYS) <= set(APPOINTMENT_RULES)

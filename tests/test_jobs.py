@@ -117,7 +117,7 @@ def test_declared_schema_reads_raw_appointments(spark, sf_dir, tmp_path):
     X.appointments(spark, sf_dir).write.parquet(path)
     table = S.read_table(spark, path, S.APPOINTMENTS)
     assert table.count() == spark.read.parquet(path).count()
-    assert table.agg(F.count("dnadate")).first()[0] == 0
+    assert table.agg(F.count("ethnos")).first()[0] == 0
 
 
 def test_grid_counts_what_lies_outside_the_weeks_as_before(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from visitflow import params as P
 from visitflow.operators import sequence as E
 from visitflow.operators.cleaning import code_categories
-from visitflow.operators.lanes import KEY, LANE, plan_lanes
+from visitflow.operators.lanes import KEY, LANE, TIE, find_lanes, plan_lanes
 from visitflow.plans import datasets as D
 
 EVENTS = "patid bigint, attendkey bigint, apptdate date, tretspef string, firstatt int, outcome int, attended int, " \
@@ -221,3 +221,50 @@ def test_any_tiebreak_gives_the_same_at_any_limit(spark, kind):
         if limit == 3:
             assert lanes.assign(events).groupBy(LANE).count().agg({"count": "max"}).first()[0] <= 3
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("kind", ["null", "equal", "mixed"])
+def test_one_day_without_useful_tiebreaks_is_cut(spark, kind):
+    """No lane, and no task, is above twice the limit, and each event has the neighbours it has in one order of the day."""
+    limit, n = 200, 6000
+    key = {"null": "CAST(NULL AS bigint)", "equal": "5L", "mixed": "nullif(id % 3, 0)"}[kind]
+    day = spark.range(n).selectExpr("1L AS patid", "DATE '2020-01-01' AS apptdate", f"{key} AS attendkey", "id")
+    lanes = plan_lanes(day, limit=limit)
+    laned = lanes.assign(day)
+    assert laned.groupBy(LANE).count().agg({"count": "max"}).first()[0] <= 2 * limit
+    near = E.with_neighbours(day, lanes, ["patid"], previous={"before": "id"}, following={"after": "id"}, size="n")
+    rows = {r.id: (r.before, r.after, r.n) for r in near.collect()}
+    order = [r.id for r in sorted(
+        laned.select("id", "attendkey", TIE).collect(), key=lambda r: (r.attendkey is None, r.attendkey or 0, r[TIE]))]
+    for before, own, after in zip([None, *order], order, [*order[1:], None]):
+        assert rows[own] == (before, after, n)
+
+
+def test_tasks_of_a_heavy_day_stay_small(spark):
+    n = 64_000
+    day = spark.range(n).selectExpr("1L AS patid", "DATE '2020-01-01' AS apptdate", "CAST(NULL AS bigint) AS attendkey", "id")
+    spread = plan_lanes(day, limit=500).assign(day).repartition(16, KEY, LANE)
+    largest = spread.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 2 * n / 16
+
+
+def test_found_lanes_equal_planned_lanes(spark, tmp_path):
+    df = skewed(spark)
+    planned, found = plan_lanes(df, limit=20), find_lanes(df, str(tmp_path / "low"), limit=20)
+    assert not found.none
+    for part in ("hot", "hot_days"):
+        assert sorted(map(repr, getattr(planned, part).collect())) == sorted(map(repr, getattr(found, part).collect()))
+    build = lambda lanes: E.with_neighbours(df, lanes, ["patid"], previous={"p": "attendkey"}, size="n")
+    assert sorted(map(repr, build(found).collect())) == sorted(map(repr, build(planned).collect()))
+
+
+def test_without_heavy_entities_plans_have_no_branch_for_them(spark, tmp_path):
+    df = skewed(spark)
+    found = find_lanes(df, str(tmp_path / "high"), limit=10**6)
+    assert found.none and not (tmp_path / "high").exists()
+    near = E.with_neighbours(df, found, ["patid"], previous={"p": "attendkey"}, size="n")
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    plain = E.with_neighbours(df, plan_lanes(df), ["patid"], previous={"p": "attendkey"}, size="n")
+    assert sorted(map(repr, near.collect())) == sorted(map(repr, plain.collect()))
+    assert find_lanes(df.limit(0), str(tmp_path / "empty")).none

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitflow import params as P
 from visitflow.functions.semantics import code_label, is_in, null_if_in
@@ -81,6 +83,34 @@ def attended_only(df: DataFrame) -> DataFrame:
     return df.where(F.col("attended").isin(list(P.ATTENDED_CODES)))
 
 
+# Bits that tell all values of a type, NULL included, apart.
+_FIXED_BITS = {
+    T.BooleanType: 2, T.ByteType: 9, T.ShortType: 17, T.IntegerType: 33, T.DateType: 33, T.LongType: 65,
+}
+_DECIMAL_BITS = 126
+
+
+def _as_long(column: Column, kind: T.DataType) -> Column:
+    return F.unix_date(column).cast("long") if isinstance(kind, T.DateType) else column.cast("long")
+
+
+def _packed_order(df: DataFrame, columns: Sequence[str]) -> Column | None:
+    """One decimal that orders rows like the columns one after the other: of the first one NULL comes last, of the others
+    first. None if a column is not of fixed width or the decimal would be too long."""
+    kinds = [df.schema[c].dataType for c in columns]
+    sizes = [_FIXED_BITS.get(type(kind)) for kind in kinds]
+    if None in sizes or sum(sizes) > _DECIMAL_BITS:
+        return None
+    order = None
+    for name, kind, bits in zip(columns, kinds, sizes, strict=True):
+        half = 1 << (bits - 2)
+        code = _as_long(F.col(name), kind).cast("decimal(20,0)") + F.lit(Decimal(half + 1)).cast("decimal(20,0)")
+        code = F.coalesce(code, F.lit(Decimal(2 * half + 1 if order is None else 0)))
+        order = code if order is None else order * F.lit(Decimal(1 << bits)) + code
+        order = order.cast("decimal(38,0)")
+    return order
+
+
 def dedupe_keep_first(
     df: DataFrame, keys: Sequence[str] = P.DEDUPE_KEYS, tiebreak: str = "attendkey",
     optional: Sequence[str] = P.OPTIONAL_KEYS,
@@ -88,11 +118,19 @@ def dedupe_keep_first(
     """One whole row per key combination (NULL equals NULL): the one with the lowest tiebreak, NULL last.
 
     Rows that tie are ordered by their other columns, so the result is one of the rows and always the same. An
-    aggregation: copies are merged before the shuffle however many there are. A key that is absent is an error, unless it
-    is ``optional``.
+    aggregation: copies are merged before the shuffle however many there are. It is a hash aggregation where a row's place
+    has a fixed width: the tiebreak alone, if there are no other columns, or the tiebreak and other columns of numbers and
+    dates that fit one decimal. Other columns of text need a sort of the groups instead. A key that is absent is an error,
+    unless it is ``optional``.
     """
     keys = resolve(df, keys, optional)
     rest = [c for c in df.columns if c not in keys and c != tiebreak]
+    if not rest:
+        return df.groupBy(*keys).agg(F.min(tiebreak).alias(tiebreak)).select(*df.columns)
+    packed = _packed_order(df, [tiebreak, *rest])
+    if packed is not None:
+        placed = df.withColumn("__place", packed).groupBy(*keys)
+        return placed.agg(*[F.min_by(c, "__place").alias(c) for c in [tiebreak, *rest]]).select(*df.columns)
     place = F.struct(F.col(tiebreak).isNull().alias("untied"), F.col(tiebreak).alias("tiebreak"), *rest)
     first = df.groupBy(*keys).agg(F.min(place).alias("__first"))
     return first.select(*[
@@ -137,9 +175,11 @@ def clean_appointments(
     """Raw to cleaned appointments, lane columns included; without a lookup no specialty name is added.
 
     The required-field filter and the removal of copies come first: both depend on event columns only, so the result
-    is the same as after the population join, and the join then carries fewer rows.
+    is the same as after the population join, and the join then carries fewer rows. Fields that are dropped and tell no
+    copies apart leave before that, so they are never read.
     """
-    events = dedupe_keep_first(filter_required(recode_sentinels(appointments)))
+    unused = [c for c in resolve(appointments, P.DROPPED_FIELDS, P.DROPPED_FIELDS) if c.lower() not in P.DEDUPE_KEYS]
+    events = dedupe_keep_first(filter_required(recode_sentinels(appointments.drop(*unused))))
     people = person_table(patients, patient_types)
     known = attach(
         lanes.assign(events.drop(*P.DROPPED_FIELDS)), people, lanes, ["ons_dod", "diabetes_type"], how="inner"

@@ -1,6 +1,7 @@
 """Ordered per-entity operators: previous and next event, index event, group size, fill.
 
-All of them take a unique tiebreak and put undated events last, so results do not depend on input order.
+All of them take a unique tiebreak and put undated events last, so results do not depend on input order. Events of one
+day that share a tiebreak, or lack it, follow one another in some order, the same for all results.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitflow.operators.lanes import KEY, LANE, LANE_COLUMNS, Lanes
+from visitflow.operators.lanes import KEY, LANE, LANE_COLUMNS, TIE, Lanes
 
 _EVERYTHING = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
@@ -28,7 +29,9 @@ class _Laned:
         self.spread = self.events.repartition(*LANE_COLUMNS) if explicit else self.events
         keys = ", ".join([*LANE_COLUMNS, *self.others])
         self.lane = f"PARTITION BY {keys}"
-        self.ordered = f"{self.lane} ORDER BY {lanes.date} ASC NULLS LAST, {lanes.tiebreak} ASC NULLS LAST"
+        place = f"{lanes.date} ASC NULLS LAST, {lanes.tiebreak} ASC NULLS LAST"
+        self.ordered = f"{self.lane} ORDER BY {place}" + (f", {TIE}" if TIE in self.events.columns else "")
+        self.place = lanes.place if TIE in self.events.columns else "true"
         self.entity = f"PARTITION BY {', '.join([KEY, f'{LANE} & 1', *self.others])}"
         self.across = f"{self.entity} ORDER BY {LANE}"
 
@@ -58,11 +61,6 @@ class _Laned:
         return here.join(moved, F.expr(" AND ".join(same)), "left")
 
 
-def _order(lanes: Lanes) -> str:
-    """Place of an event in its lane, of one day: those without a tiebreak come last."""
-    return f"named_struct('untied', {lanes.tiebreak} IS NULL, 'tiebreak', {lanes.tiebreak})"
-
-
 def _fields(sources: Mapping[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{new}', {source}" for new, source in sources.items()) + ")"
 
@@ -86,14 +84,14 @@ def with_neighbours(
     local, parts, edges, final = {}, {}, {}, {}
     if previous:
         local["__at_start"] = f"row_number() OVER ({work.ordered}) = 1"
-        parts["__tail"] = f"max_by({_fields(previous)}, {_order(lanes)})"
+        parts["__tail"] = f"max_by({_fields(previous)}, {work.place})"
         edges["__before"] = f"lag(__tail) OVER ({work.across})"
         for new, source in previous.items():
             local[f"__lag_{new}"] = f"lag({source}) OVER ({work.ordered})"
             final[new] = f"if(__at_start, __before.{new}, __lag_{new})"
     if following:
         local["__at_end"] = f"lead(1) OVER ({work.ordered}) IS NULL"
-        parts["__head"] = f"min_by({_fields(following)}, {_order(lanes)})"
+        parts["__head"] = f"min_by({_fields(following)}, {work.place})"
         edges["__after"] = f"lead(__head) OVER ({work.across})"
         for new, source in following.items():
             local[f"__lead_{new}"] = f"lead({source}) OVER ({work.ordered})"
@@ -120,7 +118,7 @@ def with_neighbours(
 def fill_up_down(df: DataFrame, lanes: Lanes, by: Sequence[str], column: str) -> DataFrame:
     """Fill NULLs of ``column`` within the entity from the next known value, else from the last known one."""
     work = _Laned(df, lanes, by)
-    at = f"CASE WHEN {column} IS NOT NULL THEN {_order(lanes)} END"
+    at = f"CASE WHEN {column} IS NOT NULL THEN {work.place} END"
     joined = work.join_edges(
         local={
             "__next": f"first_value({column}) IGNORE NULLS OVER "

@@ -105,16 +105,20 @@ def tabulate(
 
 def one_way(df: DataFrame, column: str) -> DataFrame:
     """Counts with the share of all rows and the share of rows with a known value (NULL on the NULL row)."""
-    everything = Window.partitionBy()
-    known = F.col(column).isNotNull()
-    return count_by(df, [column]).select(
+    counts, known = count_by(df, [column]), F.col(column).isNotNull()
+    return counts.select(
         column,
         "n",
-        share(F.col("n"), F.sum("n").over(everything)).alias("percent"),
-        F.when(known, share(F.col("n"), F.sum(F.when(known, F.col("n"))).over(everything))).alias("valid_percent"),
+        share(F.col("n"), _total(counts)).alias("percent"),
+        F.when(known, share(F.col("n"), _total(counts.where(known)))).alias("valid_percent"),
     )
 
 
+def _total(counts: DataFrame) -> Column:
+    """The sum of all counts, as a scalar subquery: each task adds up its counts, and the shuffle of the counts is reused."""
+    return counts.agg(F.sum("n")).scalar()
+
+
 def row_total(levels: Sequence) -> Column:
     total = F.lit(0).cast("bigint")
     for level in levels:
@@ -164,7 +168,7 @@ def crosstab_margins(df: DataFrame, row: str, column: str, levels: Sequence) ->
 def crosstab_share(df: DataFrame, row: str, column: str, digits: int) -> DataFrame:
     """Long two-way counts with their share of the grand total; rows with a NULL category are left out."""
     known = count_by(df.where(F.col(row).isNotNull() & F.col(column).isNotNull()), [row, column])
-    whole = F.sum("n").over(Window.partitionBy())
+    whole = _total(known)
     return known.select(
         row, column, "n", share(F.col("n"), whole).alias("prop"),
         share_rounded(F.col("n"), whole, digits).alias(f"prop_{digits}dp"),
@@ -201,14 +205,17 @@ def spread_counts(df: DataFrame, ids: Sequence[str], key: str, levels: Sequence)
 def complete(tally: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:
     """Add every missing combination of the key values that occur (NULL included), with count 0.
 
-    The grid is exploded from the value lists of the tally itself, so its size is set by the categories. Both
-    readings of the tally need the same columns, so its shuffle is computed once.
+    One aggregation finds the distinct values of every key, a small frame each; the frames are joined on a column that is
+    true in all of them. Spark measures them at run time: it broadcasts what is below its threshold and splits what is not.
     """
     occurring = tally.where(F.col(count) > 0)
-    grid = occurring.agg(*[F.collect_set(F.struct(F.col(k))).alias(f"__all_{k}") for k in keys])
-    for k in keys:
-        grid = grid.withColumn(f"__one_{k}", F.explode(f"__all_{k}"))
-    zeros = grid.select(*[F.col(f"__one_{k}")[k].alias(k) for k in keys], F.lit(0).cast("bigint").alias(count))
+    values = occurring.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("__set"), (F.count(F.lit(1)) > 0).alias("__there"))
+    every, grid = (1 << len(keys)) - 1, None
+    for i, k in enumerate(keys):
+        own = values.where(F.col("__set") == every - (1 << (len(keys) - 1 - i))).select(k, F.col("__there").alias(f"__there_{i}"))
+        grid = own if grid is None else grid.join(own, F.col("__there_0") == F.col(f"__there_{i}"))
+    zeros = grid.select(*keys, F.lit(0).cast("bigint").alias(count))
     return zeros.unionByName(occurring.select(*keys, count)).groupBy(*keys).agg(F.sum(count).alias(count))
 
 

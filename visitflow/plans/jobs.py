@@ -14,7 +14,7 @@ from visitflow.functions.semantics import calendar_week
 from visitflow.operators import cleaning as C
 from visitflow.operators import quality as Q
 from visitflow.operators import tabulate as T
-from visitflow.operators.lanes import DEFAULT_LIMIT, LANE_COLUMNS, Lanes, plan_lanes, stage_lanes, without_lanes
+from visitflow.operators.lanes import DEFAULT_LIMIT, LANE_COLUMNS, Lanes, find_lanes, without_lanes
 from visitflow.operators.timeline import week_grid, week_matrix
 from visitflow.plans import datasets as D
 from visitflow.plans import tables as R
@@ -61,7 +61,7 @@ def stage(
     steps that read them need no shuffle.
     """
     prefix = prefix or f"visitflow_{uuid.uuid4().hex}"
-    lanes = stage_lanes(plan_lanes(sources.appointments, limit=lane_rows), f"{folder}/lanes")
+    lanes = find_lanes(sources.appointments, f"{folder}/lanes", limit=lane_rows)
     cleaned = write_bucketed(
         C.clean_appointments(
             sources.appointments, sources.patients, sources.patient_types, sources.lookup, lanes

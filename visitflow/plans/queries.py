@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -15,9 +16,10 @@ from visitflow.operators import quality as Q
 from visitflow.operators import sequence as E
 from visitflow.operators import tabulate as T
 from visitflow.operators import timeline as L
-from visitflow.operators.lanes import DEFAULT_LIMIT, attach, plan_lanes, without_lanes
+from visitflow.operators.lanes import DEFAULT_LIMIT, Lanes, attach, find_lanes, plan_lanes, without_lanes
 from visitflow.plans import datasets as D
 from visitflow.plans import tables as R
+from visitflow.session import shared_folder
 from visitflow.sources import fixtures as X
 
 STUDY = X.STUDY
@@ -26,8 +28,13 @@ ID = ["patid", "attendkey", "apptdate"]
 LOW_LANE_LIMIT = 60
 
 
+#: Lane plans found in this process, by application, folder and limit. They hold for later data too: results don't depend on them.
+_FOUND: dict[tuple[str, str, int], Lanes] = {}
+
+
 class Inputs:
-    """Lazily built datasets of one test-table folder; building one starts no Spark job."""
+    """Lazily built datasets of one test-table folder. Building one starts no Spark job, but for the lane plan of a folder,
+    which is found once per application."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, lane_limit: int = DEFAULT_LIMIT):
         self.spark, self.sf_dir, self.lane_limit = spark, sf_dir, lane_limit
@@ -50,7 +57,11 @@ class Inputs:
 
     @cached_property
     def lanes(self):
-        return plan_lanes(self.raw, limit=self.lane_limit)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.lane_limit)
+        if key not in _FOUND:
+            folder = f"{shared_folder(self.spark)}/lanes-{uuid.uuid4().hex}"
+            _FOUND[key] = find_lanes(self.raw, folder, limit=self.lane_limit)
+        return _FOUND[key]
 
     @cached_property
     def cleaned(self):
@@ -233,7 +244,7 @@ def _with_copies(i: Inputs) -> DataFrame:
 
 @query("dedupe_keep_first")
 def _(i):
-    return C.dedupe_keep_first(_with_copies(i)).select(*ID, "tretspef")
+    return C.dedupe_keep_first(_with_copies(i).drop("apptage")).select(*ID, "tretspef")
 
 
 @query("top1_per_group")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -38,3 +41,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not folder:
         raise ValueError("name a folder for the results, or set spark.checkpoint.dir to a shared folder")
     return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for tables a query keeps; a temporary one serves local masters only."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local"):
+        return _local_folder()
+    return checkpoint_folder(spark).rstrip("/")
+
+
+@lru_cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="visitflow-")

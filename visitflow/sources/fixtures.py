@@ -42,6 +42,10 @@ APPOINTMENT_RULES = {
     "stafftyp": "CASE l_suppkey % 7 WHEN 0 THEN 9 WHEN 1 THEN 99 ELSE CAST(l_suppkey % 7 AS INT) END",
     "apptage": "CASE WHEN l_quantity <= 2 THEN 7001 ELSE CAST(20 + l_quantity AS INT) END",
     "reqdate": "CAST(o_orderdate AS DATE)",
+    "mainspef": "CASE l_suppkey % 4 WHEN 0 THEN '300' WHEN 1 THEN '307' WHEN 2 THEN '302' END",
+    "dnadate": "CASE WHEN l_tax >= 0.065 THEN CAST(o_orderdate AS DATE) END",
+    "wait_ind": "CAST(1 + l_partkey % 3 AS INT)",
+    "waiting": "CASE WHEN l_partkey % 3 < 2 THEN CAST(l_partkey % 90 AS INT) END",
     "hes_yr": "CAST(extract(year FROM l_shipdate) AS INT)",
 }
 PATIENT_RULES = {"patid": "c_custkey", "ons_dod": "CASE WHEN c_acctbal < 0 THEN DATE '2000-06-30' END"}
