@@ -27,3 +27,17 @@ def test_awkward_documents(spark, awkward, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, SF), "stage")
         docs.collect()
+
+
+def test_unlike_documents_with_null_or_shared_ids_stay(spark):
+    """Six unlike documents, three without an id and two with one id, and copies of some."""
+    texts = [f"{w} document about {w} things that no other {w} document holds, written by {w}" for w in
+             ("first", "second", "third", "fourth", "fifth", "sixth")]
+    ids = [None, None, None, 7, 7, 8]
+    rows = [*zip(ids, texts, strict=True), (None, texts[0]), (None, texts[5]), (9, texts[1]), (7, texts[3]), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    wanted = [(None, texts[0]), (9, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(wanted, key=str)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +56,15 @@ def text_slices(
             start = stop
 
 
+def release_memory() -> None:
+    """Give free memory of this Python worker back: Spark uses a worker again for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def list_offsets(lists: pa.Array) -> np.ndarray:
     """Offsets of a list array into its flattened values, from 0."""
     return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])

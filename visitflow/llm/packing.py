@@ -1,6 +1,6 @@
 """Packing of token sequences into windows by non-negative least squares.
 
-Every task packs the documents of its input split in chunks of bounded tokens. A document of a chunk gives whole windows,
+Every task packs the documents of its input split in chunks of about a million tokens. A document of a chunk gives whole windows,
 one middle piece of a multiple of ``grid`` tokens and a tail below ``grid``. Shallow combinations (two to ``depth``
 lengths) that fill a window exactly are enumerated once; their repeat counts are solved against the chunk's histogram of
 middle pieces by non-negative least squares and rounded down to what is there. What is left, and the tails, are packed
@@ -14,6 +14,7 @@ are ignored. ``sequence_id`` is the split's number times 2**32 plus a count.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from visitflow.llm.common import list_offsets, text_slices
+from visitflow.llm.common import list_offsets, release_memory, text_slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CHUNK_TOKENS = 4 << 20
-CACHE = 150_000
+CHUNK_TOKENS = 1 << 20
+SLICE = 4 << 20
+CACHE = 250_000
 
 
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
@@ -143,6 +145,11 @@ def pack(lengths: np.ndarray, window: int, grid: int, ways: list) -> list[tuple[
     return pieces
 
 
+def _begins_and_sizes(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return np.cumsum(sizes) - sizes, sizes
+
+
 class WordEncoder:
     """Ids of whole texts from the ids of their distinct pre-tokens.
 
@@ -159,13 +166,13 @@ class WordEncoder:
 
         self.tokenizer = tokenizers.Tokenizer.from_buffer(definition)
         split, *_ = json.loads(definition)["pre_tokenizer"]["pretokenizers"]
-        self.pattern = regex.compile(split["pattern"]["Regex"])
         level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         points = [*range(33, 127), *range(192, 256)]
         self.bytes_as_text = {p: level.pre_tokenize_str(chr(p))[0][0] for p in points}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-        self.known: dict[str, bytes] = {}
+        # All words of a slice are split at once; no pre-token holds the line feed between two words.
+        self.pattern = regex.compile(split["pattern"]["Regex"] + "|\n")
         self.tokens: dict[str, bytes] = {}
 
     def merge(self, token: str) -> bytes:
@@ -174,37 +181,49 @@ class WordEncoder:
             if len(self.tokens) >= CACHE:
                 self.tokens.clear()
             merged = self.tokenizer.model.tokenize(token.translate(self.bytes_as_text))
-            found = self.tokens[token] = np.array([t.id for t in merged], np.uint32).tobytes()
+            found = self.tokens[token] = struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
         return found
 
-    def plain_word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = self.known[word] = b"".join(map(self.merge, self.pattern.findall(word)))
-        return found
+    def plain_words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of plain ``words``, one after the other, and the number of each word's ids."""
+        tokens = pa.array(self.pattern.findall("\n".join(words) + "\n"), pa.string()).dictionary_encode()
+        distinct = tokens.dictionary.to_pylist()
+        end = distinct.index("\n")
+        ids = [b"" if i == end else self.merge(t) for i, t in enumerate(distinct)]
+        index = tokens.indices.to_numpy()
+        pool, begins, sizes = np.frombuffer(b"".join(ids), "<u4"), *_begins_and_sizes(ids)
+        each = sizes[index]
+        until = np.concatenate([[0], np.cumsum(each)])
+        flat = pool[np.repeat(begins[index] - until[:-1], each) + np.arange(until[-1])]
+        return flat.tobytes(), np.diff(until[np.concatenate([[0], np.flatnonzero(index == end) + 1])])
 
     def any_word(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``words``, one after the other, and where each begins."""
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all ``words``, plain ones first, where each word's ids begin, and their number."""
         plain = pc.match_substring_regex(words, self.PLAIN)
         for content in self.special:
             plain = pc.and_not(plain, pc.match_substring(words, content))
-        lowered = pc.if_else(plain, pc.utf8_lower(words), words).to_pylist()
-        ids = [self.plain_word(w) if p else self.any_word(w) for w, p in zip(lowered, plain.to_pylist(), strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        return np.frombuffer(b"".join(ids), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        sizes, parts = np.zeros(len(words), np.int64), []
+        if is_plain.any():
+            found, sizes[is_plain] = self.plain_words(pc.utf8_lower(words.filter(plain)).to_pylist())
+            parts.append(found)
+        other = [self.any_word(w) for w in words.filter(pc.invert(plain)).to_pylist()]
+        sizes[~is_plain] = [len(x) // 4 for x in other]
+        order = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
+        begins = np.zeros(len(words), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.frombuffer(b"".join(parts + other), "<u4"), begins, sizes
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts``, one after the other, and where each begins."""
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        pool, begins = self.words(words.dictionary)
+        pool, begins, counts = self.words(words.dictionary)
         index = words.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
-        sizes = np.diff(begins)[index]
+        sizes = counts[index]
         before = np.concatenate([[0], np.cumsum(sizes)])
         flat = pool[np.repeat(begins[index] - before[:-1], sizes) + np.arange(before[-1])]
         return flat, before[list_offsets(lists)]
@@ -247,7 +266,8 @@ def pack_documents(
             return pa.RecordBatch.from_pydict(columns)
 
         held = 0
-        for batch in text_slices(batches):
+        release_memory()
+        for batch in text_slices(batches, limit=SLICE):
             ids, starts = own.texts(pc.fill_null(batch.column("text"), ""))
             for k in range(batch.num_rows):
                 doc = np.append(ids[starts[k]:starts[k + 1]], np.uint32(end_id))
@@ -259,5 +279,7 @@ def pack_documents(
                 doc_ids, token_ids, held = [], [], 0
         if doc_ids:
             yield from flush()
+        own = doc_ids = token_ids = None
+        release_memory()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

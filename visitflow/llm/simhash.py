@@ -66,16 +66,17 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit number."""
+    """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed 64-bit number, text_hash XXH64 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = batch.column("text").cast(pa.binary())
             found = [fingerprint(shingle_hashes(t.as_py() or b"", shingle)) if t.is_valid else 0 for t in texts]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "fp": pa.array(np.array(found, np.uint64).view(np.int64))})
+                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(np.array(found, np.uint64).view(np.int64))})
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(
+        run, "doc_id long, text_hash long, fp long")
 
 
 def _keys() -> list:
@@ -110,13 +111,22 @@ def linked_fingerprints(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int, dense: int = DENSE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; ``docs`` has doc_id and text."""
+    """(doc_id, fingerprint, component_id, root, text_hash) of every row; ``docs`` has doc_id and text.
+
+    ``root`` is the least fingerprint of the group, as a number: it names the group also where ids are NULL or shared.
+    """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(linked_fingerprints(first.select("fp"), dense))
     rooted = first.join(roots, first.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(lowest, "root").select("fp", "component_id")
+    by_print = rooted.join(lowest, "root").select("fp", "component_id", "root")
     return prints.join(by_print, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "text_hash")
+
+
+def first_of_groups(groups: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of one row of each group of ``near_duplicates``: the smallest id, NULL last, then the least hash."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    return groups.groupBy("root").agg(F.min(place).alias("first")).select("first.doc_id", "first.text_hash")
