@@ -2,8 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that ``run`` writes as Parquet and rereads as the next
 stage's documents. All but the last return the columns of documents; rows with NULL ids or texts follow the rules of the
-operators. A document is rejected by the language stage only without letters or where no language holds ``MIN_SCORE`` of
-its words.
+operators. The language stage rejects only documents that the operator gives no language.
 """
 
 from __future__ import annotations
@@ -16,20 +15,22 @@ from visitflow.llm.common import stored
 from visitflow.llm.queries import table, tokenizer_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language stay; those with a NULL text or without letters (``und``) go."""
     found = language_id.identify(docs, language_id.fit(docs), keep=COLUMNS)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id; of rows that share it, one."""
-    groups = simhash.near_duplicates(docs, shingle=3)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay.withColumnRenamed("doc_id", "stay"), F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi") \
-        .dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group stays: that with the smallest id (NULL last), of those that share it the one with the
+    least hash of its text. Groups are told apart by their fingerprints, so unlike documents with NULL or equal ids all stay.
+    """
+    stay = simhash.first_of_groups(simhash.near_duplicates(docs, shingle=3)).toDF("stay_id", "stay_hash")
+    hashed = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash"))
+    return hashed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +41,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark text go; all others stay as they are, empty ones too."""
     found = decontaminate.tile_documents(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return found.filter(~F.col("contaminated")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences; an empty or NULL text is its end token."""
     return packing.pack_documents(docs, tokenizer_bytes("word_bpe_49k.json"), end_id=2)
 
 
