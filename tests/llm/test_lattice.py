@@ -55,7 +55,8 @@ def test_special_vectors(spark):
             (8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0]), (12, [0.0, 0.0]), (None, [1.0, 0.0])]
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, n int, v string")
     found = {r.vec_id: tuple(r)[1:] for r in lattice.near_vectors(frame).collect()}
-    assert len(found) == 12 and found[1] == (2, 1, True) and found[2] == (2, 1, False) and found[3] == (2, 1, False)
+    assert len(found) == 13 and found[1] == (3, 1, True) and found[2] == (3, 1, False) and found[3] == (3, 1, False)
+    assert found[None] == (3, 1, False)
     assert all(found[i] == (0, i, True) for i in range(4, 13))
     assert lattice.near_vectors(frame.limit(0)).count() == 0
     assert brute_components({1: 0, 2: 1}, 2) == {1: 1, 2: 1}
@@ -66,3 +67,26 @@ def test_a_pair_of_blocks_may_lack_a_side():
     for part in (0, 1):
         found = lattice._compare(0.95)((7, 0, 1), pd.DataFrame([{**row, "part": part}]))
         assert list(found.columns) == ["a", "b"] and found.empty
+
+
+def test_missing_and_shared_ids_are_vectors_of_their_own(spark):
+    """Links, degrees and components by vector; the ids only name the components."""
+    random = np.random.default_rng(6)
+    a, b, c, d = np.linalg.qr(random.normal(size=(16, 4)))[0].T
+    near = lambda x, y: (x + 0.1 * y).tolist()
+    rows = [(1, a.tolist()), (1, near(a, b)), (None, near(a, c)), (2, b.tolist()), (2, c.tolist()), (3, near(c, d)), (4, near(b, d)),
+            (None, d.tolist()), (None, near(d, a)), (5, None), (None, None)]
+    found = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    wanted = [(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (2, 1, 2, True), (2, 1, 2, True), (3, 1, 2, False),
+              (4, 1, 2, False), (None, 1, None, False), (None, 1, None, False), (5, 0, 5, True), (None, 0, None, False)]
+    assert sorted(map(tuple, found), key=str) == sorted(wanted, key=str)
+
+
+def test_blocks_and_pairs_decide_alike_at_the_limit():
+    random = np.random.default_rng(8)
+    v = random.normal(size=(60, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for least in [float((v[0] * x).cumsum()[-1]) for x in v[1:6]]:
+        frame = pd.DataFrame({"id": range(60), "home": True, "v": list(v), "part": 0})
+        pairs = {tuple(p) for p in lattice._compare(least)((1, 0, 0), frame).itertuples(index=False)}
+        assert pairs == {(i, j) for i in range(60) for j in range(i) if np.cumsum(v[i] * v[j])[-1] >= least}

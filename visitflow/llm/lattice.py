@@ -9,8 +9,9 @@ A cell with more than ``DENSE`` vectors is cut into blocks by a hash of the vect
 compared in a task of its own, so no task holds more than two blocks; only verified links leave it.
 
 Results in special cases: NULL, empty and zero vectors and those with NULL or non-finite components link with nothing and
-are their own component; vectors of different lengths don't link; repeated ids are a vector each; vec_id NULL is left
-out; further columns are ignored; an empty table gives an empty result. Search is not exhaustive: tests measure recall.
+are their own component; vectors of different lengths don't link; repeated ids are a vector each; a vector without an id
+links like any other and is never ``kept``, its component_id is the smallest id there is in its component, NULL if there
+is none; further columns are ignored; an empty table gives an empty result. Search is not exhaustive: tests measure recall.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from visitflow.llm.common import stored
 from visitflow.llm.components import connected_components
 
 TABLES, BLOCKS, SCALE, ROOTS, DENSE, BLOCK = 12, 2, 0.5, 2, 64, 256
+CLOSE = 1e-9
 
 
 def _d8(x: np.ndarray) -> np.ndarray:
@@ -115,7 +117,13 @@ def _compare(least: float):
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         a, b = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy())
-        x, y = np.nonzero((a @ b.T >= least) & (left.home.to_numpy()[:, None] | right.home.to_numpy()[None]))
+        product = a @ b.T
+        x, y = np.nonzero((product >= least - CLOSE) & (left.home.to_numpy()[:, None] | right.home.to_numpy()[None]))
+        # Near the limit, the sum in order decides, as in small cells.
+        edge = product[x, y] < least + CLOSE
+        enough = ~edge
+        enough[edge] = np.cumsum(a[x[edge]] * b[y[edge]], axis=1)[:, -1] >= least
+        x, y = x[enough], y[enough]
         one, two = left.id.to_numpy()[x], right.id.to_numpy()[y]
         pairs = pd.DataFrame({"a": np.maximum(one, two), "b": np.minimum(one, two)})
         return pairs[pairs.a != pairs.b].drop_duplicates()
@@ -155,27 +163,27 @@ def near_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``embeddings`` (vec_id, ``vector``)."""
     v = F.col("v")
-    rows = embeddings.filter("vec_id is not null").select(
+    rows = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     whole = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.withColumn("norm", F.when(whole, norm))
     fine = F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
     ids = stored(rows.select("vec_id", F.when(fine, v).alias("v"), "norm"), "vectors")
+    # A class is numbered when it is written, so no two vectors share a number, whatever their ids.
     classes = stored(
-        ids.filter("v is not null").groupBy("v", "norm").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")),
-        "classes")
-    units = classes.select("id", "n", F.transform(v, lambda x: x / F.col("norm")).alias("v"))
-    found = stored(links(units.select("id", "v"), least, dense, block), "links")
+        ids.filter("v is not null").groupBy("v", "norm").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes")
+    units = classes.select("id", F.transform(v, lambda x: x / F.col("norm")).alias("v"))
+    found = stored(links(units, least, dense, block), "links")
     both = found.union(found.select("b", "a"))
     sizes = classes.select(F.col("id").alias("b"), "n")
     degrees = both.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("others"))
-    roots = connected_components(found)
-    by_class = (
-        classes.join(degrees, F.col("id") == F.col("a"), "left").join(roots, F.col("id") == F.col("node"), "left")
-        .select(v, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-                F.coalesce("root", "id").alias("component_id"))
-    )
+    rooted = classes.join(connected_components(found), F.col("id") == F.col("node"), "left").select(
+        "id", "v", "n", "first", F.coalesce("root", "id").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_class = rooted.join(lowest, "root").join(degrees, F.col("id") == F.col("a"), "left").select(
+        v, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     linked = ids.filter("v is not null").join(by_class, "v").select("vec_id", "n_links", "component_id")
     alone = ids.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -53,7 +53,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (found.n_removed > 0).alias("has_repeat"))
 
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
