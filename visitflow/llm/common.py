@@ -95,9 +95,3 @@ def about(rows: DataFrame, order: Column, n: int) -> Column:
     """Condition that a hash ``order`` meets for about 1.2 ``n`` of ``rows``, so that few rows reach the task that takes n."""
     share = min(1.0, 1.2 * n / max(rows.count(), 1))
     return F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)) + 1
-
-
-def training_text(text: Column, seed: Column, chars: int) -> Column:
-    """A stretch of ``chars`` characters, anywhere in the text by ``seed``; the whole text if it is no longer."""
-    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    return F.substring(text, (F.pmod(seed, room.cast("long")) + 1).cast("int"), F.lit(chars))

@@ -68,9 +68,15 @@ class Crf:
 
     def marginals(self, scores: np.ndarray, first: np.ndarray, block: int = 512) -> np.ndarray:
         """Probability of each label at each word of a chain that begins anew where ``first``."""
+        ahead, behind = self.messages(scores, first, block)
+        ahead *= behind
+        return ahead / ahead.sum(axis=1, keepdims=True)
+
+    def messages(self, scores: np.ndarray, first: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Forward messages, each word's own score included, and backward messages, without it; each adds up to one."""
         n, size = scores.shape
         if not n:
-            return np.zeros((0, size))
+            return np.zeros((0, size)), np.zeros((0, size))
         count = -(-n // block)
         psi = np.ones((count * block, size))
         psi[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -92,7 +98,7 @@ class Crf:
         for b in range(count - 2, -1, -1):
             v = product[b + 1] @ leave[b + 1]
             leave[b] = v / v.sum()
-        ahead = np.empty((block, count, size))
+        ahead, behind = np.empty((2, block, count, size))
         v = enter
         for t in range(block):
             step = v @ go
@@ -103,14 +109,13 @@ class Crf:
             ahead[t] = v
         v = leave
         for t in range(block - 1, -1, -1):
-            ahead[t] *= v
+            behind[t] = v
             weighted = psi[:, t] * v
             back = weighted @ go.T
             new = cut[:, t]
             back[new] = (weighted[new] * begin).sum(axis=1, keepdims=True)
             v = back / back.sum(axis=1, keepdims=True)
-        found = ahead.transpose(1, 0, 2).reshape(-1, size)[:n]
-        return found / found.sum(axis=1, keepdims=True)
+        return tuple(x.transpose(1, 0, 2).reshape(-1, size)[:n] for x in (ahead, behind))
 
 
 def train(
@@ -121,6 +126,7 @@ def train(
     size, random = len(labels), np.random.default_rng(seed)
     model = Crf(list(labels), np.zeros((1 << BITS, size)), np.zeros((size, size)), np.zeros(size))
     squares, edge_squares = np.full((1 << BITS, size), 1e-3), np.full((size, size), 1e-1)
+    start_squares = np.full(size, 1e-1)
     for _ in range(epochs):
         order = random.permutation(len(sequences))
         for at in range(0, len(order), batch):
@@ -134,7 +140,9 @@ def train(
             first[np.cumsum([0, *sizes[:-1]])] = True
             word = tokens.indices.to_numpy()
             scores = model.emissions(tokens.dictionary)[word]
-            found = model.marginals(scores, first, block=64)
+            ahead, behind = model.messages(scores, first, block=64)
+            found = ahead * behind
+            found /= found.sum(axis=1, keepdims=True)
             gap = np.eye(size)[truth] - found
             by_word = np.zeros((len(tokens.dictionary), size))
             np.add.at(by_word, word, gap)
@@ -146,25 +154,22 @@ def train(
             slope = slope / len(chosen) - penalty * model.weights[used]
             squares[used] += slope ** 2
             model.weights[used] += rate * slope / np.sqrt(squares[used])
-            # Transitions: observed pairs against those expected from neighbouring marginals.
+            # Transitions and starts: observed against expected ones.
             linked = ~first[1:]
             seen = np.zeros((size, size))
             np.add.at(seen, (truth[:-1][linked], truth[1:][linked]), 1)
-            slope = (seen - _expected_pairs(model, scores, found, linked)) / len(chosen) - penalty * model.transitions
+            slope = (seen - expected_pairs(model, scores, ahead, behind, linked)) / len(chosen) - penalty * model.transitions
             edge_squares += slope ** 2
             model.transitions += rate * slope / np.sqrt(edge_squares)
+            slope = gap[first].mean(axis=0) - penalty * model.start
+            start_squares += slope ** 2
+            model.start += rate * slope / np.sqrt(start_squares)
     return model
 
 
-def _expected_pairs(model: Crf, scores: np.ndarray, found: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """Expected label pairs over linked neighbours: marginals of pairs, from those of single words.
-
-    alpha(t) and beta(t) are not kept, but found = alpha * beta; the pair's joint probability is fitted from the two
-    marginals and the edge potentials by a few proportional fittings, which the chain's pair marginal satisfies exactly.
-    """
-    pair = np.exp(model.transitions)[None] * np.ones((int(linked.sum()), 1, 1))
-    left, right = found[:-1][linked], found[1:][linked]
-    for _ in range(12):
-        pair *= (left / np.maximum(pair.sum(axis=2), 1e-300))[:, :, None]
-        pair *= (right / np.maximum(pair.sum(axis=1), 1e-300))[:, None, :]
-    return pair.sum(axis=0)
+def expected_pairs(model: Crf, scores: np.ndarray, ahead: np.ndarray, behind: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Expected number of every pair of labels over linked neighbours: alpha(t) * edge * psi(t + 1) * beta(t + 1)."""
+    right = (np.exp(scores - scores.max(axis=1, keepdims=True)) * behind)[1:][linked]
+    left, edge = ahead[:-1][linked], np.exp(model.transitions)
+    whole = ((left @ edge) * right).sum(axis=1, keepdims=True)
+    return (left.T @ (right / whole)) * edge

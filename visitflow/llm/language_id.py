@@ -1,7 +1,7 @@
 """Language identification of words and texts by a linear-chain conditional random field.
 
-The model is fitted on a bounded sample of labelled texts (``SAMPLE_DOCS`` texts, a stretch of ``SAMPLE_CHARS`` characters
-of each). Sequences are spliced from stretches of words of different texts, so transitions between languages are learned.
+The model is fitted on a bounded sample of labelled texts (``SAMPLE_DOCS`` texts, whole).
+Sequences are spliced from stretches of words of different texts, so transitions between languages are learned.
 Every word of every whole text then gets its marginal by forward-backward; a text's language is the one with the largest
 sum over words with letters, its score that sum's share.
 
@@ -19,23 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import about, held_out, sums_by_list, text_slices, training_text, words_of
+from visitflow.llm.common import about, held_out, sums_by_list, text_slices, words_of
 from visitflow.llm.crf import Crf, train
 
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 2000
+SAMPLE_DOCS = 4000
 WINDOW, WINDOWS, SEQUENCES = 20, 3, 4000
 SEGMENTS = "segments array<struct<lang string, first int, words int>>"
 
 
-def labelled_sample(docs: DataFrame, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> pa.Table:
-    """(text, lang) of at most ``n`` rows that are labelled and not held out, in the order of a hash of their id."""
+def labelled_sample(docs: DataFrame, n: int = SAMPLE_DOCS) -> pa.Table:
+    """(text, lang) of at most ``n`` ids with labels that are not held out, whole texts, in the order of a hash of the id.
+
+    An id with several texts of one language is there with the least of them. No task gathers the sample.
+    """
     order = F.xxhash64(F.col("doc_id").cast("string"))
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    return (
-        labelled.filter(about(labelled, order, n) & F.col("text").isNotNull())
-        .select(order.alias("o"), training_text(F.col("text"), order, chars).alias("text"), "lang")
-        .orderBy("o", "lang", "text").limit(n).select("text", "lang").toArrow()
-    )
+    some = labelled.filter(about(labelled, order, n) & F.col("text").isNotNull())
+    texts = some.groupBy(order.alias("o"), "lang").agg(F.min("text").alias("text")).toArrow()
+    return texts.sort_by([("o", "ascending"), ("lang", "ascending")]).slice(0, n).select(["text", "lang"])
 
 
 def fit(docs: DataFrame, seed: int = 11) -> Crf | None:

@@ -2,8 +2,7 @@
 
 Labels are given for texts only. Token labels follow from them: words that occur in toxic texts far more often than in
 others (log-likelihood ratio) label their occurrences in toxic texts, all else is clean. The field is fitted on windows of
-a bounded sample (``SAMPLE_DOCS`` labelled texts, a stretch of ``SAMPLE_CHARS`` characters of each), once more with the
-clean words it scored worst. Forward-backward gives every word of every whole text its probability of being toxic; a
+a bounded sample (``SAMPLE_DOCS`` labelled texts, whole), once more with the clean words it scored worst. Forward-backward gives every word of every whole text its probability of being toxic; a
 text's score moves with the largest of them from the share of labels among texts without a span to that with one, and
 runs of words above one half are its offending offsets.
 
@@ -24,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import about, held_out, text_slices, training_text, words_of
+from visitflow.llm.common import about, held_out, text_slices, words_of
 from visitflow.llm.crf import Crf, train
 
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 16000
+SAMPLE_DOCS = 6000
 RADIUS, WINDOWS, HARD = 10, 6000, 2000
 MIN_RATIO, MIN_SHARE = 30.0, 0.5
 SCHEMA = ("doc_id long, held_out boolean, score double, predicted int, "
@@ -43,8 +42,9 @@ class Tagger:
     with_span: float
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> pa.Table:
-    """(text, toxic) of at most ``n`` labels that are not held out. The chosen labels, ``n`` at most, are broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS) -> pa.Table:
+    """(text, toxic) of at most ``n`` labels that are not held out, whole texts. The chosen labels, ``n`` at most, are
+    broadcast. An id with several texts is there with the least of them. No task gathers the sample."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = (
@@ -53,10 +53,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS, ch
         .orderBy("o", "toxic").limit(n)
     )
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return (
-        texts.join(F.broadcast(chosen), "doc_id").orderBy("o", "toxic").limit(n)
-        .select(training_text(F.col("text"), F.col("o"), chars).alias("text"), "toxic").toArrow()
-    )
+    found = texts.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("o", "toxic").agg(F.min("text").alias("text")).toArrow()
+    return found.sort_by([("o", "ascending"), ("toxic", "ascending")]).select(["text", "toxic"])
 
 
 def toxic_words(word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, n_words: int) -> np.ndarray:
