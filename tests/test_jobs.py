@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitflow.operators.lanes import plan_lanes
+from visitflow.operators.quality import null_profile
 from visitflow.operators.timeline import gather_weeks, week_grid
 from visitflow.plans import datasets as D
 from visitflow.plans import jobs
@@ -34,7 +35,7 @@ PAIRS = {
     "weekly_all_years_kind": "weekly_firstatt", "weekly_imputed_kind_outcome": "imputed_weekly_firstatt_outcome",
     "weekly_check_cohort_outcome": "cohort_weekly_outcome", "events_per_patient": "mean_appts_per_patient",
     "attendance_percent_type1": "attendance_pct_type1", "backfill_audit": "backfill_audit",
-    "attendance_share_by_status": "crosstab_prop_transposed",
+    "attendance_share_by_status": "crosstab_prop_transposed", "attrition": "cohort_attrition",
 }
 
 
@@ -64,6 +65,44 @@ def test_steps_on_staged_tables_do_not_shuffle_events(spark, written, limit):
         assert "REPARTITION" not in final
 
 
+def test_raw_profile_is_observed_while_copies_are_merged(spark, sf_dir, written):
+    expected = null_profile(X.appointments(spark, sf_dir))
+    got = read(spark, written["raw_null_profile"], expected.schema).select(*expected.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+
+
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_any_number_of_buckets_gives_the_same_and_raw_is_read_for_staging_only(spark, sf_dir, written, tmp_path, buckets):
+    sources = jobs.Sources(
+        X.appointments(spark, sf_dir), X.patients(spark, sf_dir), X.patient_types(spark, sf_dir), X.specialties(spark, sf_dir))
+    data = jobs.stage(sources, X.STUDY, str(tmp_path), prefix=f"visitflow_{buckets}", buckets=buckets)
+    assert len(glob.glob(str(tmp_path / "cleaned" / "part-*"))) <= buckets
+    counted = jobs.count_cells(data, X.STUDY, str(tmp_path))
+    tables = jobs.result_tables(replace(sources, appointments=None), data, counted, X.STUDY)
+    for name in ("attrition", "raw_null_profile", "weekly_new", "missed_gap_study", "last_interval_clinic"):
+        got = tables[name]
+        want = read(spark, written[name], got.schema).select(*got.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_buckets_and_files_follow_the_rows(spark, tmp_path):
+    assert [S.bucket_count(n, 100) for n in (0, 1, 100, 101, 200, 201, 100_000, 10**12)] == [1, 1, 1, 2, 2, 4, 1024, S.MOST_BUCKETS]
+    path = str(tmp_path / "t")
+    table = S.write_bucketed(spark.range(1000), "bucketed_small_files", path, ["id"], buckets=2, rows_per_file=100)
+    sizes = [spark.read.parquet(f).count() for f in glob.glob(f"{path}/part-*")]
+    assert sum(sizes) == table.count() == 1000 and max(sizes) <= 100
+    plan = table.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("line", ["308", "308,Name,more"])
+def test_malformed_lookup_lines_are_errors(spark, tmp_path, line):
+    path = tmp_path / "lookup.csv"
+    path.write_text(f"tretspef,tretspef_name\n307,Diabetic Medicine\n{line}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.read_code_lookup(spark, str(path)).collect()
+
+
 def test_timelines_are_staged_as_parquet(spark, sf_dir, written):
     data = written["weekly_new"].rsplit("/results/", 1)[0] + "/data"
     for folder, name in (("timeline", "patient_week_grid"), ("running_totals", "cumulative_timeline")):

@@ -113,7 +113,7 @@ def _packed_order(df: DataFrame, columns: Sequence[str]) -> Column | None:
 
 def dedupe_keep_first(
     df: DataFrame, keys: Sequence[str] = P.DEDUPE_KEYS, tiebreak: str = "attendkey",
-    optional: Sequence[str] = P.OPTIONAL_KEYS,
+    optional: Sequence[str] = P.OPTIONAL_KEYS, copies: str | None = None,
 ) -> DataFrame:
     """One whole row per key combination (NULL equals NULL): the one with the lowest tiebreak, NULL last.
 
@@ -121,22 +121,22 @@ def dedupe_keep_first(
     aggregation: copies are merged before the shuffle however many there are. It is a hash aggregation where a row's place
     has a fixed width: the tiebreak alone, if there are no other columns, or the tiebreak and other columns of numbers and
     dates that fit one decimal. Other columns of text need a sort of the groups instead. A key that is absent is an error,
-    unless it is ``optional``.
+    unless it is ``optional``. ``copies`` names a column for the number of rows that were merged.
     """
     keys = resolve(df, keys, optional)
     rest = [c for c in df.columns if c not in keys and c != tiebreak]
+    counted = [F.count(F.lit(1)).alias(copies)] if copies else []
+    shown = [*df.columns, *([copies] if copies else [])]
     if not rest:
-        return df.groupBy(*keys).agg(F.min(tiebreak).alias(tiebreak)).select(*df.columns)
+        return df.groupBy(*keys).agg(F.min(tiebreak).alias(tiebreak), *counted).select(*shown)
     packed = _packed_order(df, [tiebreak, *rest])
     if packed is not None:
         placed = df.withColumn("__place", packed).groupBy(*keys)
-        return placed.agg(*[F.min_by(c, "__place").alias(c) for c in [tiebreak, *rest]]).select(*df.columns)
+        return placed.agg(*[F.min_by(c, "__place").alias(c) for c in [tiebreak, *rest]], *counted).select(*shown)
     place = F.struct(F.col(tiebreak).isNull().alias("untied"), F.col(tiebreak).alias("tiebreak"), *rest)
-    first = df.groupBy(*keys).agg(F.min(place).alias("__first"))
-    return first.select(*[
-        F.col(c) if c in keys else F.col("__first.tiebreak").alias(c) if c == tiebreak else F.col(f"__first.{c}")
-        for c in df.columns
-    ])
+    first = df.groupBy(*keys).agg(F.min(place).alias("__first"), *counted)
+    whole = {tiebreak: F.col("__first.tiebreak").alias(tiebreak), **{c: F.col(f"__first.{c}") for c in rest}}
+    return first.select(*[whole.get(c, F.col(c)) for c in shown])
 
 
 def in_population(df: DataFrame, patients: DataFrame, lanes: Lanes) -> DataFrame:
@@ -165,6 +165,22 @@ def person_table(patients: DataFrame, patient_types: DataFrame) -> DataFrame:
     )
 
 
+def merge_copies(appointments: DataFrame, copies: str | None = None) -> DataFrame:
+    """Raw appointments, recoded, each once. Fields that are dropped and tell no copies apart are never read."""
+    unused = [c for c in resolve(appointments, P.DROPPED_FIELDS, P.DROPPED_FIELDS) if c.lower() not in P.DEDUPE_KEYS]
+    return dedupe_keep_first(recode_sentinels(appointments.drop(*unused)), copies=copies)
+
+
+def clean_merged(
+    events: DataFrame, patients: DataFrame, patient_types: DataFrame, lookup: DataFrame | None, lanes: Lanes
+) -> DataFrame:
+    """The cleaned appointments of ``merge_copies``, lane columns included."""
+    people = person_table(patients, patient_types)
+    complete = filter_required(events).drop(*P.DROPPED_FIELDS)
+    alive = before_death(attach(lanes.assign(complete), people, lanes, ["ons_dod", "diabetes_type"], how="inner"))
+    return alive if lookup is None else join_lookup(alive, lookup)
+
+
 def clean_appointments(
     appointments: DataFrame,
     patients: DataFrame,
@@ -174,18 +190,10 @@ def clean_appointments(
 ) -> DataFrame:
     """Raw to cleaned appointments, lane columns included; without a lookup no specialty name is added.
 
-    The required-field filter and the removal of copies come first: both depend on event columns only, so the result
-    is the same as after the population join, and the join then carries fewer rows. Fields that are dropped and tell no
-    copies apart leave before that, so they are never read.
+    The removal of copies comes first: it depends on event columns only, so the result is the same as after the
+    population join, and the join then carries fewer rows. The required fields are keys, so their test reaches the scan.
     """
-    unused = [c for c in resolve(appointments, P.DROPPED_FIELDS, P.DROPPED_FIELDS) if c.lower() not in P.DEDUPE_KEYS]
-    events = dedupe_keep_first(filter_required(recode_sentinels(appointments.drop(*unused))))
-    people = person_table(patients, patient_types)
-    known = attach(
-        lanes.assign(events.drop(*P.DROPPED_FIELDS)), people, lanes, ["ons_dod", "diabetes_type"], how="inner"
-    )
-    alive = before_death(known)
-    return alive if lookup is None else join_lookup(alive, lookup)
+    return clean_merged(merge_copies(appointments), patients, patient_types, lookup, lanes)
 
 
 def missed(df: DataFrame) -> DataFrame:

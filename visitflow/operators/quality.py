@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_CELL = 10
@@ -13,10 +15,35 @@ SMALL_CELL = 10
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows and NULLs per column: one aggregation of the whole table, then one row per column."""
     names = list(columns or df.columns)
-    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.isnull(F.col(c))).alias(c) for c in names])
+    counts = df.agg(*_null_counts(names))
     return counts.unpivot(["n_rows"], names, "column_name", "n_null").select("column_name", "n_rows", "n_null")
 
 
+def _null_counts(names: Sequence[str]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.isnull(F.col(c))).alias(c) for c in names]]
+
+
+@dataclass(frozen=True)
+class ObservedProfile:
+    """The NULL profile of a frame, counted while some other job reads it: no pass of its own."""
+
+    observation: Observation
+    names: tuple[str, ...]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """As ``null_profile``; waits for the job. A row per column, so its size is that of the schema."""
+        found = self.observation.get
+        rows = [(name, found["n_rows"], found[name]) for name in self.names]
+        return spark.createDataFrame(rows, "column_name string, n_rows bigint, n_null bigint")
+
+
+def observe_nulls(df: DataFrame) -> tuple[DataFrame, ObservedProfile]:
+    """``df`` with its NULL profile to come. A stage that is run again after a lost executor counts again: for a profile
+    that has to be exact then, use ``null_profile``."""
+    profile = ObservedProfile(Observation(f"nulls_{uuid.uuid4().hex}"), tuple(df.columns))
+    return df.observe(profile.observation, *_null_counts(profile.names)), profile
+
+
 def distinct_with_null(column: str) -> Column:
     """Number of distinct values, NULL counting as one."""
     return F.count_distinct(F.col(column)) + F.coalesce(F.max(F.isnull(F.col(column)).cast("bigint")), F.lit(0))

@@ -26,11 +26,16 @@ def cohort_attrition(
     """
     recoded = C.recode_sentinels(appointments)
     keys = C.resolve(recoded, P.DEDUPE_KEYS, P.OPTIONAL_KEYS)
+    merged = C.dedupe_keep_first(recoded.select(*keys, lanes.tiebreak), copies="__copies")
+    return merged_attrition(merged, patients, patient_types, params, lanes)
+
+
+def merged_attrition(
+    merged: DataFrame, patients: DataFrame, patient_types: DataFrame, params: P.StudyParams, lanes: Lanes
+) -> DataFrame:
+    """The attrition from appointments that are merged already, with the number of rows of each in ``__copies``."""
     started = F.col("apptdate") >= F.lit(params.study_start) if params.include_start \
         else F.col("apptdate") > F.lit(params.study_start)
-    merged = recoded.groupBy(*keys).agg(
-        F.min(lanes.tiebreak).alias(lanes.tiebreak), F.count(F.lit(1)).alias("__copies")
-    )
     people = C.person_table(patients, patient_types).withColumn("__member", F.lit(True))
     events = attach(merged, people, lanes, ["ons_dod", "diabetes_type", "__member"])
     present = [F.col(f).isNotNull() for f in P.REQUIRED_FIELDS]

@@ -19,7 +19,7 @@ from visitflow.operators.timeline import week_grid, week_matrix
 from visitflow.plans import datasets as D
 from visitflow.plans import tables as R
 from visitflow.session import checkpoint_folder
-from visitflow.sources.tables import write_bucketed, write_result_csv, write_table
+from visitflow.sources.tables import bucket_count, write_bucketed, write_result_csv, write_table
 
 PERIOD_CELLS = ("diabetes_type", "firstatt_agg", "attended", "attended_agg")
 STUDY_CELLS = ("diabetes_type", "firstatt_agg", "attended_agg", R.LAST, R.NEXT, "cancel_dna_interval")
@@ -42,6 +42,8 @@ class Staged:
     """Datasets on storage. Each is read from its table, so a lost executor never means recomputing from raw data."""
 
     lanes: Lanes
+    merged: DataFrame
+    raw_profile: Q.ObservedProfile
     cleaned: DataFrame
     derived: DataFrame
     study: DataFrame
@@ -51,35 +53,38 @@ class Staged:
 
 
 def stage(
-    sources: Sources, params: P.StudyParams, folder: str, lane_rows: int = DEFAULT_LIMIT, prefix: str | None = None
+    sources: Sources, params: P.StudyParams, folder: str, lane_rows: int = DEFAULT_LIMIT, prefix: str | None = None,
+    buckets: int | None = None,
 ) -> Staged:
     """Write cleaned, derived, study and cohort data, lane columns included, and the patients' timelines, in that order.
 
     The timelines are the weekly counts (long) and the running totals (a column per week). Without ``prefix`` the tables
     get a name of their own, so that two runs never share one.
     Cleaned and study data are bucketed by lane (tables ``<prefix>_cleaned`` and ``<prefix>_study``): the sequence
-    steps that read them need no shuffle.
+    steps that read them need no shuffle. The raw table is read once for all that follows: its copies are merged and
+    counted, its NULLs are observed on the way; the merged table sets the number of buckets, unless it is given.
     """
     prefix = prefix or f"visitflow_{uuid.uuid4().hex}"
     lanes = find_lanes(sources.appointments, f"{folder}/lanes", limit=lane_rows)
+    raw, profile = Q.observe_nulls(sources.appointments)
+    merged = write_table(C.merge_copies(raw, copies="__copies"), f"{folder}/merged")
+    buckets = buckets or bucket_count(merged.count())
     cleaned = write_bucketed(
-        C.clean_appointments(
-            sources.appointments, sources.patients, sources.patient_types, sources.lookup, lanes
-        ),
-        f"{prefix}_cleaned", f"{folder}/cleaned", LANE_COLUMNS,
+        C.clean_merged(merged.drop("__copies"), sources.patients, sources.patient_types, sources.lookup, lanes),
+        f"{prefix}_cleaned", f"{folder}/cleaned", LANE_COLUMNS, buckets,
     )
     lanes = replace(lanes, placed=True)
     derived = write_table(D.derive_sequence(cleaned, params, lanes), f"{folder}/derived")
     study = write_bucketed(
         D.study_dataset(cleaned, params, lanes, missed_gap=True),
-        f"{prefix}_study", f"{folder}/study", LANE_COLUMNS,
+        f"{prefix}_study", f"{folder}/study", LANE_COLUMNS, buckets,
     )
     in_window = D.clinic_cohort(study, params, lanes).drop("cancel_dna_next_apptdate", "cancel_dna_interval")
     cohort = write_table(D.cohort_sequence(in_window, lanes), f"{folder}/cohort")
     ids = ["patid", R.TYPE]
     timeline = write_table(week_grid(cohort, ids, R.WEEK, params.sim_weeks, "app_count"), f"{folder}/timeline")
     running = write_table(week_matrix(cohort, ids, R.WEEK, params.sim_weeks, running=True), f"{folder}/running_totals")
-    return Staged(lanes, cleaned, derived, study, cohort, timeline, running)
+    return Staged(lanes, merged, profile, cleaned, derived, study, cohort, timeline, running)
 
 
 def count_cells(data: Staged, params: P.StudyParams, folder: str) -> dict[str, DataFrame]:
@@ -138,10 +143,8 @@ def result_tables(
         "summary_detail": T.summary_detail(counted["summary_specialty"], "stratum"),
         "backfill_audit": R.backfill_audit(data.derived),
         "null_profile": Q.null_profile(without_lanes(data.derived)),
-        "raw_null_profile": Q.null_profile(sources.appointments),
-        "attrition": D.cohort_attrition(
-            sources.appointments, sources.patients, sources.patient_types, params, data.lanes
-        ),
+        "raw_null_profile": data.raw_profile.table(data.merged.sparkSession),
+        "attrition": D.merged_attrition(data.merged, sources.patients, sources.patient_types, params, data.lanes),
         "weekly_new": R.weekly_new(cohort, params),
         "weekly_existing_index": R.weekly_existing_index(cohort, params),
         "cumulative_by_week": R.cumulative_by_week(cohort, params),
@@ -181,7 +184,7 @@ def protected(table: DataFrame, floor: int | None) -> DataFrame:
 
 def run(
     sources: Sources, params: P.StudyParams, folder: str | None = None, lane_rows: int = DEFAULT_LIMIT,
-    prefix: str | None = None, small_cell: int | None = None,
+    prefix: str | None = None, small_cell: int | None = None, buckets: int | None = None,
 ) -> dict[str, str]:
     """Stage everything and write the result tables as CSV; returns the folder of each table.
 
@@ -192,7 +195,7 @@ def run(
     """
     spark = sources.appointments.sparkSession
     folder = folder or f"{checkpoint_folder(spark)}/visitflow"
-    data = stage(sources, params, f"{folder}/data", lane_rows, prefix)
+    data = stage(sources, params, f"{folder}/data", lane_rows, prefix, buckets)
     counted = count_cells(data, params, f"{folder}/data")
     written = {}
     for name, table in result_tables(sources, data, counted, params).items():

@@ -18,6 +18,9 @@ APPOINTMENTS = """
 PATIENTS = "patid bigint, ons_dod date"
 PATIENT_TYPES = "patid bigint, diabetes_type string"
 SPECIALTIES = "tretspef string, tretspef_name string"
+#: Some 200 MB of cleaned appointments.
+ROWS_PER_BUCKET = 4_000_000
+MOST_BUCKETS = 1 << 16
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -27,8 +30,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_code_lookup(spark: SparkSession, path: str, schema: T.StructType | str = SPECIALTIES) -> DataFrame:
-    """Code lookup CSV with a header; the code stays text, so leading zeros survive."""
-    return spark.read.csv(path, schema=schema, header=True, nullValue=NA_TEXT)
+    """Code lookup CSV with a header; the code stays text, so leading zeros survive.
+
+    A line with too many or too few fields is an error that names it, not a code without a name.
+    """
+    return spark.read.csv(path, schema=schema, header=True, nullValue=NA_TEXT, mode="FAILFAST", enforceSchema=False)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -37,16 +43,24 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return read_table(df.sparkSession, path, None if partition_by else df.schema)
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, columns: Sequence[str]) -> DataFrame:
+def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets for a table of ``rows``: a power of two, so that tables of unlike size still nest."""
+    return min(1 << max(0, (max(rows, 1) - 1) // rows_per_bucket).bit_length(), MOST_BUCKETS)
+
+
+def write_bucketed(
+    df: DataFrame, table: str, path: str, columns: Sequence[str], buckets: int | None = None, rows_per_file: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Stage a dataset as a table bucketed by ``columns``, replacing it, and return the staged copy.
 
-    Later windows and joins on these columns read it without a shuffle. There are as many buckets as shuffle
-    partitions, and each is written by one task, so there is one file per bucket.
+    Later windows and joins on these columns read it without a shuffle. Without ``buckets`` there are as many as shuffle
+    partitions. Each is written by one task; a bucket of more than ``rows_per_file`` rows has several files.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartition(buckets, *columns)
-    placed.write.mode("overwrite").format("parquet").bucketBy(buckets, *columns).option("path", path).saveAsTable(table)
+    writer = placed.write.mode("overwrite").format("parquet").bucketBy(buckets, *columns)
+    writer.option("path", path).option("maxRecordsPerFile", rows_per_file).saveAsTable(table)
     return spark.table(table)
 
 
