@@ -173,15 +173,20 @@ class WordEncoder:
 
         # All words of a slice are split at once; no pre-token holds the line feed between two words.
         self.pattern = regex.compile(split["pattern"]["Regex"] + "|\n")
-        self.tokens: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {"\n": b""}
 
     def merge(self, token: str) -> bytes:
-        found = self.tokens.get(token)
-        if found is None:
-            if len(self.tokens) >= CACHE:
-                self.tokens.clear()
-            merged = self.tokenizer.model.tokenize(token.translate(self.bytes_as_text))
-            found = self.tokens[token] = struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+        merged = self.tokenizer.model.tokenize(token.translate(self.bytes_as_text))
+        return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+
+    def merged(self, tokens: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens; those known from earlier slices are not merged again."""
+        found = list(map(self.tokens.get, tokens))
+        if len(self.tokens) > CACHE:
+            self.tokens = {"\n": b""}
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = self.tokens[tokens[i]] = self.merge(tokens[i])
         return found
 
     def plain_words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
@@ -189,7 +194,7 @@ class WordEncoder:
         tokens = pa.array(self.pattern.findall("\n".join(words) + "\n"), pa.string()).dictionary_encode()
         distinct = tokens.dictionary.to_pylist()
         end = distinct.index("\n")
-        ids = [b"" if i == end else self.merge(t) for i, t in enumerate(distinct)]
+        ids = self.merged(distinct)
         index = tokens.indices.to_numpy()
         pool, begins, sizes = np.frombuffer(b"".join(ids), "<u4"), *_begins_and_sizes(ids)
         each = sizes[index]
