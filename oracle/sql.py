@@ -234,6 +234,21 @@ def _margins(row: str, column: str, levels: dict) -> str:
     return _on(f"SELECT {row}, {cells} {source} GROUP BY {row} UNION ALL SELECT 'Sum', {cells} {source}", "period")
 
 
+L, N = "appt_int_last_binned", "appt_int_next_binned"
+RAISED_ROW = f"sum(n) OVER (PARTITION BY {L})"
+
+
+def _protected(body: str) -> str:
+    """``body`` over counts by last and next interval in which no count is from 1 to 9."""
+    return _on(body, "cohort", extra={"raised": f"""SELECT {L}, {N}, CAST(greatest(count(*), 10) AS BIGINT) AS n
+        FROM cohort GROUP BY {L}, {N}"""})
+
+
+def _raised(levels: dict) -> str:
+    return ", ".join(
+        f'CAST(coalesce(sum(n) FILTER (WHERE {N} = {_literal(v)}), 0) AS BIGINT) AS "{name}"' for name, v in levels.items())
+
+
 def _crosstab_share(row: str, column: str) -> str:
     return f"""SELECT {row}, {column}, n, {_share('n', 'sum(n) OVER ()')} AS prop,
         {_rounded('n', 'sum(n) OVER ()', 3)} AS prop_3dp
@@ -484,6 +499,12 @@ def _tables() -> dict[str, str]:
         "cohort_attrition": _attrition(),
         "weekly_existing_index": _existing_index(),
         "suppress_small_cells": _existing_index(small),
+        "protected_margins": _protected(f"""SELECT {L}, {_raised(NEXT)}, CAST(sum(n) AS BIGINT) AS sum FROM raised
+            GROUP BY {L} UNION ALL SELECT 'Sum', {_raised(NEXT)}, CAST(sum(n) AS BIGINT) FROM raised"""),
+        "protected_shares": _protected(f"""SELECT {L}, {N}, n, {_share('n', RAISED_ROW)} AS prop,
+            {_rounded('n', RAISED_ROW, 2)} AS prop_2dp FROM raised"""),
+        "protected_percent": _protected(_percent_table(
+            f"SELECT {L}, {_raised(NEXT)} FROM raised GROUP BY {L}", L, NEXT, 1)),
         "patient_week_grid": _grid(False, "app_count"),
         "cumulative_timeline": _grid(True, "cumulative_appt_count"),
         "unpivot_weeks": _grid(True, "cumulative_appt_count"),

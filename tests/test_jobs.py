@@ -83,6 +83,10 @@ def test_any_number_of_buckets_gives_the_same_and_raw_is_read_for_staging_only(s
         got = tables[name]
         want = read(spark, written[name], got.schema).select(*got.columns)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    safe = jobs.result_tables(replace(sources, appointments=None), data, counted, X.STUDY, small_cell=200)["attendance_margins"]
+    for row in safe.collect():
+        cells = [row[c] for c in safe.columns if c not in ("diabetes_type", "sum")]
+        assert sum(cells) == row["sum"] and all(n == 0 or n >= 200 for n in cells)
 
 
 def test_buckets_and_files_follow_the_rows(spark, tmp_path):

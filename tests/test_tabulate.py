@@ -166,3 +166,19 @@ def test_levels_that_are_not_listed_are_an_error(spark):
 def test_levels_with_one_column_name_are_an_error(spark):
     with pytest.raises(ValueError, match="column name"):
         T.tabulate(spark.createDataFrame([("a", "1 week")], "k string, v string"), "k", "v", ["1 week", "1_week"])
+
+
+def test_nothing_small_follows_from_a_protected_table(spark):
+    """All margins, shares and printed cells come from the raised counts, so they say no more than these do."""
+    counts = {("a", "x"): 3, ("a", "y"): 40, ("b", "x"): 12, ("b", "y"): 9, ("c", "x"): 1, (None, "y"): 2}
+    df = spark.createDataFrame([k for k, n in counts.items() for _ in range(n)], "r string, c string")
+    safe = T.protected_cells(df, ["r", "c"])
+    raised = {k: max(n, 10) for k, n in counts.items()}
+    assert {(r.r, r.c): r[T.WEIGHT] for r in safe.collect()} == raised
+    assert rows(T.crosstab_margins(safe, "r", "c", ["x", "y"])) == [
+        ("Sum", 32, 50, 82), ("a", 10, 40, 50), ("b", 12, 10, 22), ("c", 10, 0, 10)]
+    table = T.row_percent_text(T.tabulate(safe, "r", "c", ["x", "y"], with_na=False), "r", ["x", "y"], 1)
+    assert [r for r in rows(table) if r[0] == "c"] == [("c", "100.0% (10)", "0.0% (0)", 10, 0)]
+    assert {(r.r, r.c): r.prop for r in T.share_within(safe, ["r"], ["c"]).collect()}["a", "x"] == 0.2
+    summary = T.summary_table(df.withColumn("s", F.lit("all")), ["r", "c"], "s", ["all"], floor=10).collect()
+    assert {(r.variable, r.level): r.n for r in summary}["r", "c"] == 10 and all(r.n == 0 or r.n >= 10 for r in summary)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitflow.functions.semantics import percent_text, percent_with_n, share, share_rounded
+from visitflow.operators.quality import SMALL_CELL, suppress_small_cells
 from visitflow.params import NA_TEXT
 
 NA_COLUMN = "na_"
@@ -32,6 +33,16 @@ def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
+def protected_cells(df: DataFrame, columns: Sequence[str], floor: int = SMALL_CELL) -> DataFrame:
+    """Cells of one table with every count from 1 to ``floor - 1`` raised to ``floor``.
+
+    Margins, shares and printed cells of a table that is made from these cells are computed from the raised counts, so
+    they agree with each other and no smaller count follows from them by subtraction or division.
+    """
+    counted = df.groupBy(*columns).agg(n_events(df).alias(WEIGHT))
+    return suppress_small_cells(counted, [WEIGHT], floor)
+
+
 def n_events(df: DataFrame) -> Column:
     return F.sum(WEIGHT) if WEIGHT in df.columns else F.count(F.lit(1))
 
@@ -253,12 +264,14 @@ def transition_matrix_wide(long: DataFrame, groups: Sequence[str], source: str,
 
 
 def summary_table(
-    df: DataFrame, variables: Sequence[str], stratum: str, strata: Sequence[str], with_missing: bool = False
+    df: DataFrame, variables: Sequence[str], stratum: str, strata: Sequence[str], with_missing: bool = False,
+    floor: int | None = None,
 ) -> DataFrame:
     """Counts and percentages of every level of every variable per stratum, in one pass; NULL is a level.
 
     A level that occurs in one stratum is listed with 0 in the others. ``text`` is the printed cell, ``45 (12.3)``.
-    ``with_missing`` adds the flag ``missing``, which tells NULL from a level of the same name.
+    ``with_missing`` adds the flag ``missing``, which tells NULL from a level of the same name. With ``floor`` counts from 1
+    to below it are raised to it before percentages are taken.
     """
     pairs = ", ".join(f"'{v}', CAST({v} AS string)" for v in variables)
     carried = [stratum, WEIGHT] if WEIGHT in df.columns else [stratum]
@@ -267,6 +280,8 @@ def summary_table(
         .groupBy("variable", "level")
         .agg(*[n_events_if(df, F.col(stratum) == s).alias(s) for s in strata])
     )
+    if floor:
+        counts = suppress_small_cells(counts, list(strata), floor)
     long = counts.unpivot(["variable", "level"], list(strata), stratum, "n")
     whole = F.sum("n").over(Window.partitionBy("variable", stratum))
     percent = share(F.col("n") * F.lit(100), whole)

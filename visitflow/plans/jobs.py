@@ -87,7 +87,9 @@ def stage(
     return Staged(lanes, merged, profile, cleaned, derived, study, cohort, timeline, running)
 
 
-def count_cells(data: Staged, params: P.StudyParams, folder: str) -> dict[str, DataFrame]:
+def count_cells(
+    data: Staged, params: P.StudyParams, folder: str, small_cell: int | None = None
+) -> dict[str, DataFrame]:
     """One pass per dataset; all count tables read these few rows instead of the events."""
     period = C.from_study_start(C.of_specialty(data.derived, params), params, include_start=True)
     checked = D.check_dataset(data.cleaned, params)
@@ -108,7 +110,8 @@ def count_cells(data: Staged, params: P.StudyParams, folder: str) -> dict[str, D
         name: write_table(T.cells(df, columns), f"{folder}/cells/{name}") for name, (df, columns) in wanted.items()
     }
     strata = period.withColumn("stratum", F.col(R.TYPE))
-    summary = T.summary_table(strata, [*_summary_fields(data), R.TYPE], "stratum", params.types, with_missing=True)
+    summary = T.summary_table(
+        strata, [*_summary_fields(data), R.TYPE], "stratum", params.types, with_missing=True, floor=small_cell)
     return counted | {"summary_specialty": write_table(summary, f"{folder}/cells/summary_specialty")}
 
 
@@ -117,28 +120,32 @@ def _summary_fields(data: Staged) -> list[str]:
 
 
 def result_tables(
-    sources: Sources, data: Staged, counted: dict[str, DataFrame], params: P.StudyParams
+    sources: Sources, data: Staged, counted: dict[str, DataFrame], params: P.StudyParams, small_cell: int | None = None
 ) -> dict[str, DataFrame]:
-    """Every result table by name."""
+    """Every result table by name. With ``small_cell`` tables with margins, shares or printed cells are made from protected cells."""
+
+    def at(events: DataFrame, *columns: str) -> DataFrame:
+        return T.protected_cells(events, columns, small_cell) if small_cell else events
+
     period, study, cohort = counted["period"], counted["study"], counted["cohort"]
     period_rows = C.from_study_start(C.of_specialty(data.derived, params), params, include_start=True)
     all_rows = C.from_study_start(
         data.derived.where(F.col("diabetes_type").isin(list(params.types))), params, include_start=True
     )
     tables = {
-        "type_by_kind": R.kinds_by_type(period),
-        "attended_type_by_kind": R.kinds_by_type(C.attended_only(period)),
-        "attendance_margins": T.crosstab_margins(period, R.TYPE, R.STATUS, P.ATTENDANCE_LEVELS),
-        "attendance_margins_by_status": T.crosstab_margins(period, R.STATUS, R.TYPE, params.types),
-        "attendance_share": T.crosstab_share(period, R.TYPE, R.STATUS, 3),
-        "attendance_share_by_status": R.attendance_share_by_status(period, params),
-        "follow_up_ratio": R.follow_up_ratio(period),
-        "follow_up_ratio_attended": R.follow_up_ratio(C.attended_only(period)),
-        "attendance_percent": R.attendance_percent_by_type(period),
-        **{f"attendance_percent_{t}": R.attendance_percent_by_kind(period, t) for t in params.types},
+        "type_by_kind": R.kinds_by_type(at(period, R.TYPE, R.KIND)),
+        "attended_type_by_kind": R.kinds_by_type(at(C.attended_only(period), R.TYPE, R.KIND)),
+        "attendance_margins": T.crosstab_margins(at(period, R.TYPE, R.STATUS), R.TYPE, R.STATUS, P.ATTENDANCE_LEVELS),
+        "attendance_margins_by_status": T.crosstab_margins(at(period, R.TYPE, R.STATUS), R.STATUS, R.TYPE, params.types),
+        "attendance_share": T.crosstab_share(at(period, R.TYPE, R.STATUS), R.TYPE, R.STATUS, 3),
+        "attendance_share_by_status": R.attendance_share_by_status(at(period, R.TYPE, R.STATUS), params),
+        "follow_up_ratio": R.follow_up_ratio(at(period, R.TYPE, R.KIND)),
+        "follow_up_ratio_attended": R.follow_up_ratio(at(C.attended_only(period), R.TYPE, R.KIND)),
+        "attendance_percent": R.attendance_percent_by_type(at(period, R.TYPE, R.STATUS)),
+        **{f"attendance_percent_{t}": R.attendance_percent_by_kind(at(period, R.TYPE, R.KIND, R.STATUS), t) for t in params.types},
         "events_per_patient": R.events_per_patient(period_rows),
         "follow_ups_per_patient": R.follow_ups_per_patient(period_rows),
-        "summary_all": T.summary_table(all_rows, _summary_fields(data), R.TYPE, params.types),
+        "summary_all": T.summary_table(all_rows, _summary_fields(data), R.TYPE, params.types, floor=small_cell),
         "summary_specialty": counted["summary_specialty"].drop("missing"),
         "summary_detail": T.summary_detail(counted["summary_specialty"], "stratum"),
         "backfill_audit": R.backfill_audit(data.derived),
@@ -152,12 +159,12 @@ def result_tables(
     }
     for end, events in (("clinic", cohort), ("study", study)):
         tables |= {
-            f"last_interval_{end}": R.last_interval_distribution(events),
-            f"attendance_by_last_count_{end}": R.attendance_by_last_counts(events),
-            f"attendance_by_last_share_{end}": R.attendance_by_last_shares(events),
-            f"new_attendance_{end}": R.new_attendance_percent(events),
-            f"new_next_count_{end}": R.new_next_counts(events),
-            f"new_next_share_{end}": R.new_next_shares(events),
+            f"last_interval_{end}": R.last_interval_distribution(at(events, R.KIND, R.TYPE, R.LAST)),
+            f"attendance_by_last_count_{end}": R.attendance_by_last_counts(at(events, R.KIND, R.STATUS, R.LAST)),
+            f"attendance_by_last_share_{end}": R.attendance_by_last_shares(at(events, R.KIND, R.STATUS, R.LAST)),
+            f"new_attendance_{end}": R.new_attendance_percent(at(events, R.KIND, R.TYPE, R.STATUS)),
+            f"new_next_count_{end}": R.new_next_counts(at(events, R.KIND, R.STATUS, R.NEXT)),
+            f"new_next_share_{end}": R.new_next_shares(at(events, R.KIND, R.STATUS, R.TYPE, R.NEXT)),
             f"missed_gap_{end}": R.missed_gap_means(events),
         }
     checked = counted["checked"]
@@ -188,22 +195,25 @@ def run(
 ) -> dict[str, str]:
     """Stage everything and write the result tables as CSV; returns the folder of each table.
 
-    With ``small_cell`` counts from 1 to below it are written as ``small_cell``. Shares, means and printed cells are of the
-    counts as they are, and counts inside a printed cell are not raised: leave those tables out of a release.
+    With ``small_cell`` counts from 1 to below it are written as ``small_cell``; margins, shares, percentages and printed cells
+    are computed from the raised counts of their table. Means are of the events as they are.
     The transition matrices get one subfolder per group. Without ``folder`` the one in ``spark.checkpoint.dir`` is used; it
     is an error if neither is named.
     """
     spark = sources.appointments.sparkSession
     folder = folder or f"{checkpoint_folder(spark)}/visitflow"
     data = stage(sources, params, f"{folder}/data", lane_rows, prefix, buckets)
-    counted = count_cells(data, params, f"{folder}/data")
+    counted = count_cells(data, params, f"{folder}/data", small_cell)
     written = {}
-    for name, table in result_tables(sources, data, counted, params).items():
+    for name, table in result_tables(sources, data, counted, params, small_cell).items():
         written[name] = f"{folder}/results/{name}"
         write_result_csv(protected(table, small_cell), written[name])
     for measure in ("prop", "count"):
         name = f"transition_{measure}"
         written[name] = f"{folder}/results/{name}"
-        wide = R.transition_wide(counted["cohort"], measure)
+        cells = counted["cohort"]
+        if small_cell:
+            cells = T.protected_cells(cells, [*R.MATRIX_GROUPS, R.LAST, R.NEXT], small_cell)
+        wide = R.transition_wide(cells, measure)
         write_result_csv(protected(wide, small_cell), written[name], ["group_name"])
     return written

@@ -502,6 +502,26 @@ def _(i):
     return Q.suppress_small_cells(R.weekly_existing_index(i.indexed, STUDY), list(STUDY.types))
 
 
+def _protected(i: Inputs) -> DataFrame:
+    return T.protected_cells(i.cohort, [R.LAST, R.NEXT])
+
+
+@query("protected_margins")
+def _(i):
+    return T.crosstab_margins(_protected(i), R.LAST, R.NEXT, P.NEXT_LEVELS)
+
+
+@query("protected_shares")
+def _(i):
+    return T.share_within(_protected(i), [R.LAST], [R.NEXT])
+
+
+@query("protected_percent")
+def _(i):
+    table = T.tabulate(_protected(i), R.LAST, R.NEXT, P.NEXT_LEVELS, with_na=False)
+    return T.row_percent_text(table, R.LAST, P.NEXT_LEVELS, 1)
+
+
 @query("patient_week_grid")
 def _(i):
     return L.week_grid(i.cohort, ["patid", "diabetes_type"], "sim_week", STUDY.sim_weeks, "app_count")
