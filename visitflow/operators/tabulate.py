@@ -15,7 +15,7 @@ from visitflow.functions.semantics import percent_text, percent_with_n, share, s
 from visitflow.operators.quality import SMALL_CELL, suppress_small_cells
 from visitflow.params import NA_TEXT
 
-NA_COLUMN = "na_"
+NA_COLUMN, OTHER_COLUMN = "na_", "other"
 TOTAL = "Sum"
 WEIGHT = "__n"
 
@@ -78,15 +78,23 @@ def listed(column: str, levels: Sequence, value: Column) -> Column:
     return F.when(unlisted > 0, F.raise_error(message)).otherwise(value)
 
 
-def level_counts(df: DataFrame, column: str, levels: Sequence, with_na: bool = False) -> dict[str, Column]:
+def level_counts(
+    df: DataFrame, column: str, levels: Sequence, with_na: bool = False, other: bool = False
+) -> dict[str, Column]:
     """One count per level as aggregate columns: a pivot in a single aggregation, absent cells 0.
 
-    A known value that is not in ``levels`` is an error, so that no row leaves the table or its shares unseen.
+    A known value that is not in ``levels`` is an error, so that no row leaves the table or its shares unseen; with
+    ``other`` it is counted in the column of that name instead.
     """
-    counts = {
-        name: listed(column, levels, n_events_if(df, F.col(column) == F.lit(level)))
-        for name, level in zip(slugs(levels), levels, strict=True)
-    }
+    names, counts = slugs(levels), {}
+    if other and OTHER_COLUMN in names:
+        raise ValueError(f"a level has the column name {OTHER_COLUMN}")
+    for i, (name, level) in enumerate(zip(names, levels, strict=True)):
+        count = n_events_if(df, F.col(column) == F.lit(level))
+        # One test for the whole table is enough.
+        counts[name] = listed(column, levels, count) if i == 0 and not other else count
+    if other:
+        counts[OTHER_COLUMN] = n_events_if(df, ~F.col(column).isin(list(levels)))
     if with_na:
         counts[NA_COLUMN] = n_events_if(df, F.col(column).isNull())
     return counts
@@ -99,12 +107,14 @@ def tabulate(
     levels: Sequence,
     row_levels: Sequence | None = None,
     with_na: bool = True,
+    other: bool = False,
 ) -> DataFrame:
     """Two-way counts, one column per level, 0 for empty cells; NULL rows and (``with_na``) columns are kept.
 
-    With ``row_levels`` a level without events still gets its row of zeros.
+    With ``row_levels`` a level without events still gets its row of zeros. Values that are not listed are an error, or
+    counted together with ``other``.
     """
-    counts = level_counts(df, column, levels, with_na)
+    counts = level_counts(df, column, levels, with_na, other)
     table = df.groupBy(row).agg(*[c.alias(name) for name, c in counts.items()])
     if row_levels is None:
         return table

@@ -148,7 +148,7 @@ def result_tables(
         "summary_all": T.summary_table(all_rows, _summary_fields(data), R.TYPE, params.types, floor=small_cell),
         "summary_specialty": counted["summary_specialty"].drop("missing"),
         "summary_detail": T.summary_detail(counted["summary_specialty"], "stratum"),
-        "backfill_audit": R.backfill_audit(data.derived),
+        "backfill_audit": R.backfill_audit(data.derived, other=True),
         "null_profile": Q.null_profile(without_lanes(data.derived)),
         "raw_null_profile": data.raw_profile.table(data.merged.sparkSession),
         "attrition": D.merged_attrition(data.merged, sources.patients, sources.patient_types, params, data.lanes),

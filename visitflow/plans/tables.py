@@ -26,8 +26,11 @@ def of_kind(events: DataFrame, kind: str) -> DataFrame:
 # --- Descriptives ------------------------------------------------------------------------------------
 
 
-def backfill_audit(derived: DataFrame) -> DataFrame:
-    """Discharge flag by type of the next event, before and after the backfill, counted in one pass."""
+def backfill_audit(derived: DataFrame, other: bool = False) -> DataFrame:
+    """Discharge flag by type of the next event, before and after the backfill, counted in one pass.
+
+    With ``other`` codes beyond the known ones have a column of their own; otherwise they are an error.
+    """
     counted = derived.select(
         "lead_firstatt",
         F.explode(F.array(
@@ -35,7 +38,7 @@ def backfill_audit(derived: DataFrame) -> DataFrame:
             F.struct(F.lit("after").alias("stage"), F.col("discharged").alias("discharged")),
         )).alias("flag"),
     )
-    counts = T.level_counts(counted, "lead_firstatt", (1, 2, 3, 4, 5), with_na=True)
+    counts = T.level_counts(counted, "lead_firstatt", (1, 2, 3, 4, 5), with_na=True, other=other)
     return counted.groupBy("flag.stage", "flag.discharged").agg(*[
         n.alias(name if name == T.NA_COLUMN else f"next_{name}") for name, n in counts.items()
     ])
