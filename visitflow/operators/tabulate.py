@@ -93,10 +93,10 @@ def level_counts(
         count = n_events_if(df, F.col(column) == F.lit(level))
         # One test for the whole table is enough.
         counts[name] = listed(column, levels, count) if i == 0 and not other else count
-    if other:
-        counts[OTHER_COLUMN] = n_events_if(df, ~F.col(column).isin(list(levels)))
     if with_na:
         counts[NA_COLUMN] = n_events_if(df, F.col(column).isNull())
+    if other:
+        counts[OTHER_COLUMN] = n_events_if(df, ~F.col(column).isin(list(levels)))
     return counts
 
 
