@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import stored, text_slices
+from visitflow.llm.common import release_memory, stored, text_slices
 from visitflow.llm.components import connected_components
 
 MAX_BITS, DENSE, BLOCKS = 2, 64, 4
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed 64-bit number, text_hash XXH64 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in text_slices(batches):
             texts = batch.column("text").cast(pa.binary())
             found = [fingerprint(shingle_hashes(t.as_py() or b"", shingle)) if t.is_valid else 0 for t in texts]
