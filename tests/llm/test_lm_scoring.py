@@ -133,3 +133,56 @@ def test_long_words_and_hot_unseen_words(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("w")).withColumn("row", F.lit(1))
     found = M.score_texts(frame).collect()
     assert sorted(tuple(r)[:5] + (round(r.base_score, 6),) for r in found) == sorted(word_columns(rows))
+
+
+def test_every_training_text_is_learned_from(spark):
+    random = np.random.default_rng(4)
+
+    def text():
+        return " ".join("".join(chr(97 + int(c)) for c in random.integers(0, 26, 7)) for _ in range(60))
+
+    # Each text stands in two training rows of one remainder, and some in a held-out row.
+    folds = {k: [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == k] for k in range(7)}
+    rows, held = [], folds.pop(2)
+    for own, copy in zip(folds.values(), held, strict=False):
+        texts = [text() for _ in range(6)]
+        rows += [*zip(own, texts * 2, strict=False), (copy, texts[0])]
+    new, copies = held[len(folds)], held[:len(folds)]
+    rows.append((new, text()))
+    found = {r.doc_id: r.score for r in M.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # A copy of a training text costs far less than a text that is new, whatever the training text's remainder.
+    assert max(found[i] / found[new] for i in copies) < 0.6
+
+
+def test_stages_from_all_windows_without_their_own_occurrence(spark):
+    texts = [f"{t} {i % 7}" for i, t in enumerate(TEXTS * 40)]
+    windows = M.window_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    counts = M.slot_counts(windows)
+    tables = M.odds_tables(counts)
+    first, second = M.learn_stages(windows, tables)
+    assert round(second.seen.sum() - M.Second.new().seen.sum()) == 8 * sum(len(t.encode()) + 1 for t in texts)
+    # The tables without one bit equal those of counts that lack it.
+    by_slot = {r.slot: (r.n0, r.n1) for r in counts.collect()}
+    rows = [r for r in windows.collect() if r.n < 40]
+    window = np.array([r.window for r in rows], np.uint64)
+    odds = M.left_out_odds(window, tables[1:].ravel())
+    bits = M._BITS[(window & np.uint64(255)).astype(int)]
+    for k in range(1, M.ORDERS + 1):
+        for i, own in enumerate(M.order_slots(window, k).tolist()):
+            for j, slot in enumerate(own):
+                n0, n1 = by_slot[slot]
+                n0, n1 = n0 - (bits[i, j] == 0), n1 - (bits[i, j] == 1)
+                wanted = np.clip(np.rint(np.log((n1 + M.PRIOR) / (n0 + M.PRIOR)) * M.STEPS), -127, 127)
+                assert abs(int(odds[i, 8 * (k - 1) + j]) - wanted) <= 1
+    # No weights close by are likelier.
+    rows = windows.collect()
+    window, n = (np.array([r[c] for r in rows]) for c in ("window", "n"))
+    odds = M.left_out_odds(window.astype(np.uint64), tables[1:].ravel())
+    parts = odds, M._gates(odds), M._BITS[window & 255], n
+
+    def loss(weights):
+        by_bit = weights.reshape(M.GATES, M.ORDERS, 8).transpose(0, 2, 1)
+        return M.first_sums(*parts, by_bit)[..., 0].sum() + M.PULL / 2 * ((weights - 0.3) ** 2).sum()
+
+    random = np.random.default_rng(5)
+    assert all(loss(first.weights) < loss(first.weights + random.normal(0, 0.1, first.weights.shape)) for _ in range(5))

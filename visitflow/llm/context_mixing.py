@@ -4,16 +4,18 @@ The model reads the lower-cased bytes of a text and one end mark (a byte that UT
 decisions. A predictor per order, 1 to 5 bytes of context, looks up the log odds of the next bit in a hashed table, in a
 slot named by the context and the byte's bits so far. The first mixer adds up the predictors' log odds with weights; the
 set of weights is gated by how many of the longer contexts are known, and by the bit's place. Its weights are learned
-online from a stream of training texts and then stand, so its result is a function of the six-byte window and is computed
-once per distinct window of a slice. The second stage goes on learning in every text: counts of ones by level of
+from all training texts and then stand, so its result is a function of the six-byte window and is computed once per
+distinct window of a slice. The second stage goes on learning in every text: counts of ones by level of
 confidence refine the mixed probability, and a final mixer weighs refined against mixed log odds. A text is read in blocks
 that grow from 512 to 4096 bytes; every block is coded with what was learned up to its start, and then updates it. So the
 probability is a proper one, depends on nothing but the text and the model, and two equal texts have equal scores.
 
-What is learned from the corpus, from all training texts: counts of all six-byte windows, which Spark adds up, then of the
-tables' slots, then one signed byte of log odds per slot (the tables have a fixed number of slots, ``slots()``). The first
-mixer and the start of the second stage are learned on about ``TUNING`` distinct training texts at most, chosen by hash,
-whole, which are left out of the tables so that their contexts are as new to them as those of other texts.
+All is learned from all training texts: counts of all six-byte windows, which Spark adds up, then of the tables' slots,
+then one signed byte of log odds per slot (the tables have a fixed number of slots, ``slots()``). Both mixers and the levels'
+first counts are learned from the counted windows, each with the log odds that the slots have without the window's own
+occurrence, so that its contexts are as new to them as those of other texts. The first mixer takes Newton steps on the
+likelihood of all training bytes, a pass over the windows each; of the second stage one pass counts all bits by first log
+odds and level, and the driver fits its weights to these few thousand counts.
 
 Words: counts of all words are added up by Spark. A word of up to ``SHORT`` bytes that makes more than a 2**-20th of all
 tokens is known to every task (fewer than 2**20 such words); all other words of a text go to their counts in a join, where
@@ -27,7 +29,7 @@ every bit has probability one half; further columns are ignored; an empty table
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import about, list_offsets, stored, text_slices
+from visitflow.llm.common import list_offsets, release_memory, stored, text_slices
 
 ORDERS = 5
 ORDER_BITS = (16, 22, 22, 22, 22)
@@ -47,7 +49,7 @@ STEPS = 16.0  # log odds are kept in sixteenths
 PRIOR = 0.1  # of a bit, added to both of a slot's counts
 GATES, LEVELS = 4, 25
 BLOCKS = (512, 4096)
-TUNING = 1000
+ROUNDS, CLOSE, PULL = 12, 0.01, 1.0
 FREQUENT, SHORT = 1 << 20, 64
 HELD_WINDOWS = 1 << 21
 LEAST = np.float32(1e-5)
@@ -131,6 +133,8 @@ def window_counts(texts: DataFrame) -> DataFrame:
                 held = []
         if held:
             yield added()
+        held.clear()
+        release_memory()
 
     return (
         texts.select("text").mapInArrow(count, "context long, window long, n long")
@@ -155,24 +159,38 @@ def slot_counts(windows: DataFrame) -> DataFrame:
     return counted.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def log_odds(counts: DataFrame) -> np.ndarray:
-    """The tables of all orders, a signed byte per slot; pages of at most 2**16 slots come to the driver."""
-    odds = F.round(F.log((F.col("n1") + PRIOR) / (F.col("n0") + PRIOR)) * STEPS)
+def odds_tables(counts: DataFrame) -> np.ndarray:
+    """(3, slots): the tables of all orders, a signed byte per slot: of all bits, without one bit of 0, without one of 1.
+
+    Pages of at most 2**16 slots come to the driver.
+    """
+    names = ("all", "no0", "no1")
+
+    def odds(name: str) -> Column:
+        n0, n1 = F.col("n0") - int(name == "no0"), F.col("n1") - int(name == "no1")
+        own = F.round(F.log((F.greatest(n1, F.lit(0)) + PRIOR) / (F.greatest(n0, F.lit(0)) + PRIOR)) * STEPS)
+        return F.greatest(F.least(own, F.lit(127)), F.lit(-127)).cast("int").alias(name)
+
     rows = counts.select(
         F.shiftright("slot", PAGE_BITS).alias("page"), F.col("slot").bitwiseAND((1 << PAGE_BITS) - 1).alias("at"),
-        F.greatest(F.least(odds, F.lit(127)), F.lit(-127)).cast("int").alias("odds"))
+        *map(odds, names))
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(1 << PAGE_BITS, np.int8)
-        own[rows["at"].to_numpy()] = rows["odds"].to_numpy()
+        own = np.zeros((len(names), 1 << PAGE_BITS), np.int8)
+        own[:, rows["at"].to_numpy()] = rows[list(names)].to_numpy().T
         return pd.DataFrame({"page": rows["page"].iloc[:1], "odds": [own.tobytes()]})
 
-    tables = np.zeros(slots(), np.int8)
-    for number, odds in rows.groupBy("page").applyInPandas(page, "page int, odds binary").toLocalIterator():
-        tables[number << PAGE_BITS:(number + 1) << PAGE_BITS] = np.frombuffer(odds, np.int8)
+    tables = np.zeros((len(names), slots()), np.int8)
+    for number, found in rows.groupBy("page").applyInPandas(page, "page int, odds binary").toLocalIterator():
+        tables[:, number << PAGE_BITS:(number + 1) << PAGE_BITS] = np.frombuffer(found, np.int8).reshape(len(names), -1)
     return tables
 
 
+def log_odds(counts: DataFrame) -> np.ndarray:
+    """The tables of all orders, a signed byte per slot."""
+    return odds_tables(counts)[0]
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -180,30 +198,66 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def fitted(start: np.ndarray, measure: Callable[[np.ndarray], tuple]) -> np.ndarray:
+    """Weights (..., d) of least loss for each problem: Newton steps from ``start``, halved where the loss has risen.
+
+    ``measure`` gives loss (...), slope (..., d) and curve (..., d, d); a pull to ``start`` keeps weights without data there.
+    """
+    best = here = start.astype(float)
+    lowest, move = np.full(start.shape[:-1], np.inf), np.zeros(start.shape)
+    for _ in range(ROUNDS):
+        loss, slope, curve = measure(here)
+        away = here - start
+        loss = loss + PULL / 2 * (away * away).sum(axis=-1)
+        ahead = -np.linalg.solve(curve + PULL * np.eye(start.shape[-1]), (slope + PULL * away)[..., None])[..., 0]
+        better = (loss < lowest)[..., None]
+        lowest, best, move = np.minimum(loss, lowest), np.where(better, here, best), np.where(better, ahead, move / 2)
+        here = best + move
+        if np.abs(move).max() < CLOSE:
+            break
+    return np.round(best, 4)
+
+
+def first_sums(odds: np.ndarray, gates: np.ndarray, bits: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(gate, bit, 1 + orders + orders**2): loss, slope and curve of the first mixer over bytes that occur ``n`` times."""
+    out = np.zeros((GATES, 8, 1 + ORDERS + ORDERS ** 2))
+    for gate in np.unique(gates):
+        mine = np.flatnonzero(gates == gate)
+        x = odds[mine].reshape(-1, ORDERS, 8).transpose(2, 1, 0).astype(np.float32, order="C") * np.float32(1 / STEPS)
+        bit, times = bits[mine].T, n[mine].astype(np.float32)
+        one = _logistic((x * weights[gate].astype(np.float32)[:, :, None]).sum(axis=1))
+        fair = np.maximum(np.abs(one + (bit - 1)), LEAST)
+        out[gate, :, 0] = -(np.log(fair) * times).sum(axis=1, dtype=float)
+        out[gate, :, 1:1 + ORDERS] = (x @ ((one - bit) * times)[:, :, None])[:, :, 0]
+        out[gate, :, 1 + ORDERS:] = ((x * (one * (1 - one) * times)[:, None, :]) @ x.transpose(0, 2, 1)).reshape(8, -1)
+    return out
+
+
 @dataclass
 class First:
-    """The first mixer: a weight per gate, order and bit, and the sums of its squared gradients."""
+    """The first mixer: a weight per gate, order and bit."""
 
     weights: np.ndarray
-    squares: np.ndarray
-
-    RATE = 0.05
 
     @classmethod
     def new(cls) -> First:
-        shape = (GATES, ORDERS * 8)
-        return cls(np.full(shape, 0.3, np.float32), np.ones(shape, np.float32))
+        return cls(np.full((GATES, ORDERS * 8), 0.3, np.float32))
+
+    @classmethod
+    def learned(cls, sums: Callable[[np.ndarray], np.ndarray]) -> First:
+        """The mixer of most likelihood; ``sums`` gives what ``first_sums`` does, of all bytes, for weights (gate, bit, order)."""
+
+        def measure(weights: np.ndarray) -> tuple:
+            found = sums(weights)
+            return found[..., 0], found[..., 1:1 + ORDERS], found[..., 1 + ORDERS:].reshape(GATES, 8, ORDERS, ORDERS)
+
+        weights = fitted(cls.new().weights.reshape(GATES, ORDERS, 8).transpose(0, 2, 1), measure)
+        return cls(weights.transpose(0, 2, 1).reshape(GATES, -1).astype(np.float32))
 
     def mix(self, odds: np.ndarray, gates: np.ndarray) -> np.ndarray:
         """Log odds of every bit; ``odds`` holds every order's eight in ``STEPS``, a row per byte."""
         return ((odds * np.float32(1 / STEPS)) * self.weights.take(gates, axis=0)) @ _ADD_ORDERS
 
-    def learn(self, odds: np.ndarray, gates: np.ndarray, bits: np.ndarray) -> None:
-        slope = ((bits - _logistic(self.mix(odds, gates))) @ _ADD_ORDERS.T) * (odds * np.float32(1 / STEPS))
-        gradient = np.eye(GATES, dtype=np.float32).take(gates, axis=0).T @ slope
-        self.squares += gradient * gradient
-        self.weights += np.float32(self.RATE) * gradient / np.sqrt(self.squares)
-
 
 @dataclass
 class Second:
@@ -222,6 +276,26 @@ class Second:
         return cls(seen * _logistic(np.arange(LEVELS) / 1.5 - 8), seen, np.full((2, 8), 0.5, np.float32),
                    np.full((2, 8), 16, np.float32))
 
+    @classmethod
+    def learned(cls, cells: np.ndarray) -> Second:
+        """The stage after all bits, counted by ``second_cells``."""
+        found, new = cells.reshape(8, LEVELS, 256, 2), cls.new()
+        ones, seen = new.ones + found[..., 1].sum(axis=2), new.seen + found.sum(axis=(2, 3))
+        place, level, mixed, bit = np.nonzero(found)
+        n = found[place, level, mixed, bit]
+        rate = ones / seen
+        x = np.stack([mixed.astype(np.uint8).view(np.int8) / STEPS, np.log(rate / (1 - rate))[place, level]], axis=1)
+
+        def measure(weights: np.ndarray) -> tuple:
+            one = _logistic((x * weights[place]).sum(axis=1))
+            sums = np.zeros((8, 7))
+            curve = (x[:, :, None] * x[:, None, :]).reshape(-1, 4) * (n * one * (1 - one))[:, None]
+            loss = -n * np.log(np.maximum(np.abs(one + bit - 1), LEAST))
+            np.add.at(sums, place, np.column_stack([loss, x * (n * (one - bit))[:, None], curve]))
+            return sums[:, 0], sums[:, 1:3], sums[:, 3:].reshape(8, 2, 2)
+
+        return cls(ones, seen, fitted(new.weights.T, measure).T.astype(np.float32), new.squares)
+
     def start(self) -> Second:
         """A copy for a new text; its counts are cut so that they still move."""
         share = np.minimum(1, self.HELD / self.seen)
@@ -260,6 +334,18 @@ def _blocks(begin: int, end: int) -> Iterator[slice]:
         begin = stop
 
 
+def _gates(odds: np.ndarray) -> np.ndarray:
+    """How many of the three longest contexts are known."""
+    return (odds[:, 16::8] != 0).sum(axis=1)
+
+
+def left_out_odds(windows: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """(windows, orders * 8): log odds of the windows' slots without one occurrence of the window itself; ``held`` are the
+    tables without a bit of 0 and without a bit of 1, one after the other."""
+    bit = _BITS.take((windows & np.uint64(255)).astype(np.intp), axis=0).astype(np.int32) * np.int32(slots())
+    return np.hstack([held.take(order_slots(windows, k) + bit) for k in range(1, ORDERS + 1)])
+
+
 class Reader:
     """Scores texts with the tables and both stages, or learns the stages from texts."""
 
@@ -271,7 +357,7 @@ class Reader:
         coded = pa.array(windows.view(np.int64)).dictionary_encode()
         distinct = coded.dictionary.to_numpy().view(np.uint64)
         odds = np.hstack([self.tables.take(order_slots(distinct, k)) for k in range(1, ORDERS + 1)])
-        return data, ranges, coded.indices.to_numpy(), odds, (odds[:, 16::8] != 0).sum(axis=1)
+        return data, ranges, coded.indices.to_numpy(), odds, _gates(odds)
 
     def _second_inputs(self, odds: np.ndarray, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First log odds and levels of eight bits, packed in eight bytes each."""
@@ -298,18 +384,25 @@ class Reader:
             total[i] = sum(self._read(second, block, data, at, packed) for block in _blocks(begin, end))
         return total / math.log(10)
 
-    def learn_first(self, texts: pa.Array) -> None:
+    def second_cells(self, odds: np.ndarray, gates: np.ndarray, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Number of bits by place, level, first log odds and value, of bytes that occur ``n`` times."""
+        mixed, levels = (p.view(np.uint8).reshape(-1, 8) for p in self._second_inputs(odds, gates))
+        cell = (levels.astype(np.int32) * 256 + mixed) * 2 + bits.astype(np.int32)
+        return np.bincount(cell.ravel(), np.repeat(n, 8), 8 * LEVELS * 512)
+
+    def _distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data, ranges, at, odds, gates = self._slice(texts)
-        for begin, end in ranges.tolist():
-            for block in _blocks(begin, end):
-                self.first.learn(odds[at[block]], gates[at[block]], _BITS[data[block]])
+        own = np.concatenate([np.arange(a, b) for a, b in ranges.tolist()])
+        n, byte = np.bincount(at[own], minlength=len(odds)), np.zeros(len(odds), np.uint8)
+        byte[at[own]] = data[own]
+        return odds, gates, _BITS.take(byte, axis=0), n
+
+    def learn_first(self, texts: pa.Array) -> None:
+        parts = self._distinct(texts)
+        self.first = First.learned(lambda weights: first_sums(*parts, weights))
 
     def learn_second(self, texts: pa.Array) -> None:
-        data, ranges, at, odds, gates = self._slice(texts)
-        packed = self._second_inputs(odds, gates)
-        for begin, end in ranges.tolist():
-            for block in _blocks(begin, end):
-                self._read(self.second, block, data, at, packed)
+        self.second = Second.learned(self.second_cells(*self._distinct(texts)))
 
 
 # ---------------------------------------------------------------- words
@@ -361,57 +454,57 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def tune(texts: DataFrame, tables: np.ndarray) -> tuple[First, Second]:
-    """Both stages after reading ``texts`` (seed, text), one after the other, in one task each: first the one, then the
-    other on top of it."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(tables)
-    ordered = stored(texts.distinct(), "tuning-texts").repartition(1).sortWithinPartitions("seed", "text").select("text")
-    first, second = First.new(), Second.new()
+def learn_stages(windows: DataFrame, tables: np.ndarray) -> tuple[First, Second]:
+    """Both stages from all ``windows`` (window, n); ``tables`` are those of ``odds_tables``."""
+    held = windows.sparkSession.sparkContext.broadcast(tables[1:].ravel())
 
-    def read(of_first: bool, known: First) -> list[bytes] | None:
+    def added(sums: Callable[..., np.ndarray], size: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader = Reader(shared.value, known)
-            for batch in text_slices(batches):
-                (reader.learn_first if of_first else reader.learn_second)(batch.column("text"))
-            stage = reader.first if of_first else reader.second
-            yield pa.RecordBatch.from_pydict({"parts": [[x.tobytes() for x in vars(stage).values()]]})
-
-        row = ordered.mapInArrow(run, "parts array<binary>").first()
-        return row and row.parts
-
-    def loaded(stage: First | Second, parts: list[bytes] | None) -> First | Second:
-        if parts is None:
-            return stage
-        return type(stage)(*[
-            np.frombuffer(p, x.dtype).reshape(x.shape) for p, x in zip(parts, vars(stage).values(), strict=True)])
-
-    first = loaded(first, read(True, first))
-    return first, loaded(second, read(False, first))
-
-
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, tuning_fold: int = 3, tuning: int = TUNING) -> DataFrame:
+            total = np.zeros(size)
+            for batch in batches:
+                window = batch.column("window").to_numpy().view(np.uint64)
+                odds = left_out_odds(window, held.value)
+                bits = _BITS.take((window & np.uint64(255)).astype(np.intp), axis=0)
+                total += sums(odds, _gates(odds), bits, batch.column("n").to_numpy()).ravel()
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "value": total[at]})
+            release_memory()
+
+        parts = windows.select("window", "n").mapInArrow(run, "at int, value double")
+        found = parts.groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        out = np.zeros(size)
+        out[found["at"].to_numpy()] = found["value"].to_numpy()
+        return out
+
+    shape = (GATES, 8, 1 + ORDERS + ORDERS ** 2)
+    first = First.learned(lambda weights: added(
+        lambda *parts: first_sums(*parts, weights), math.prod(shape)).reshape(shape))
+    reader = Reader(np.zeros(0, np.int8), first)
+    second = Second.learned(added(reader.second_cells, 8 * LEVELS * 512))
+    held.unpersist()
+    return first, second
+
+
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
     The rows whose crc32(doc_id as text) mod ``folds`` is ``fold`` are held out; all others are learned from.
     """
     spark = docs.sparkSession
-    doc_id, seed = F.col("doc_id"), F.xxhash64("doc_id", "text")
+    doc_id = F.col("doc_id")
     rows = docs.select(doc_id.cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("held_out", F.coalesce(remainder(doc_id, folds) == fold, F.lit(False)))
     train = rows.filter(~F.col("held_out"))
-    able = train.filter(remainder(doc_id, folds) == tuning_fold)
-    chosen = F.coalesce(remainder(doc_id, folds) == tuning_fold, F.lit(False)) & F.coalesce(about(able, seed, tuning), F.lit(False))
-
-    tables = log_odds(stored(slot_counts(window_counts(train.filter(~chosen))), "slot-counts"))
-    stages = tune(train.filter(chosen).select(seed.alias("seed"), "text"), tables)
+    windows = stored(window_counts(train).select("window", "n"), "windows")
+    tables = odds_tables(stored(slot_counts(windows), "slot-counts"))
+    stages = learn_stages(windows, tables)
     words = stored(word_counts(rows.withColumn("train", ~F.col("held_out"))), "word-counts")
     n, n_train, v = words.agg(F.sum("n"), F.sum("n_train"), F.count_if(F.col("n_train") > 0)).first()
     ends = train.count()
     total, distinct = (n_train or 0) + ends, v + (ends > 0)
     is_frequent = (F.col("n") * FREQUENT > (n or 0)) & (F.octet_length("word") <= SHORT)
     often = words.filter(is_frequent).select("word", "n_train").toArrow()
-    known = spark.sparkContext.broadcast((tables, stages, often))
+    known = spark.sparkContext.broadcast((tables[0], stages, often))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, stages, often = known.value
