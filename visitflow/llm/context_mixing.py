@@ -49,7 +49,7 @@ STEPS = 16.0  # log odds are kept in sixteenths
 PRIOR = 0.1  # of a bit, added to both of a slot's counts
 GATES, LEVELS = 4, 25
 BLOCKS = (512, 4096)
-ROUNDS, CLOSE, PULL = 12, 0.01, 1.0
+ROUNDS, CLOSE, PULL = 7, 0.05, 1.0
 FREQUENT, SHORT = 1 << 20, 64
 HELD_WINDOWS = 1 << 21
 LEAST = np.float32(1e-5)
@@ -214,7 +214,7 @@ def fitted(start: np.ndarray, measure: Callable[[np.ndarray], tuple]) -> np.ndar
         lowest, best, move = np.minimum(loss, lowest), np.where(better, here, best), np.where(better, ahead, move / 2)
         here = best + move
         if np.abs(move).max() < CLOSE:
-            break
+            return np.round(here, 4)
     return np.round(best, 4)
 
 
@@ -442,6 +442,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "word": word_keys(words.dictionary), "n": np.bincount(index, minlength=size),
                 "n_train": np.bincount(index[train], minlength=size)})
+        release_memory()
 
     counted = texts.select("text", "train").mapInArrow(count, "word string, n long, n_train long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
@@ -537,6 +538,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 "times": pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))),
             })
             at += len(sizes)
+        release_memory()
 
     scored = stored(rows.select("doc_id", "held_out", "text").mapInArrow(
         score, "row long, doc_id long, held_out boolean, n_words long, known long, logs double, score double,"
