@@ -1,9 +1,11 @@
 """Suffix arrays and removal of repeated strings against brute force."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from visitflow.llm import suffix_dedup
@@ -74,3 +76,24 @@ def test_awkward(awkward, empty):
     found = {r.doc_id: r for r in suffix_dedup.remove_repeats(awkward, keep=("lang", "n"), with_text=True).collect()}
     assert found[5].n_removed == found[5].n_bytes and found[7].kept_text == "" and found[1].kept_text is None and found[8].n == 12 - 5
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_memory_of_a_slice_and_of_crowded_cores():
+    layout = suffix_dedup.Layout(400)
+    text = np.random.default_rng(2).integers(97, 123, suffix_dedup.SLICE).astype(np.uint8)
+    suffix_dedup.POWERS.clear()
+    tracemalloc.start()
+    suffix_dedup.regions(text, np.arange(0, len(text) + 1, 2048), layout)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    # Each of 3000 regions of one core has 100 windows; few of them are held at once.
+    n = 3000
+    side = [bytes([97 + i % 26]) * 99 for i in range(n)]
+    crowd = pa.RecordBatch.from_pydict({
+        "core": np.zeros(n, np.int64), "region": np.arange(n), "windows": pa.array([100] * n, pa.int32()),
+        "before": pa.array(side, pa.binary()), "after": pa.array(side, pa.binary())})
+    found = list(suffix_dedup.window_rows(iter([crowd]), layout))
+    assert sum(b.num_rows for b in found) == 100 * n and max(b.num_rows for b in found) < 100_000
+    pairs = {x for b in found for x in zip(b["region"].to_pylist(), b["k"].to_pylist(), strict=True)}
+    assert len(pairs) == 100 * n
