@@ -1,9 +1,15 @@
 """The pipeline's stages against what their operators say, and its import guard."""
 
+import tracemalloc
+
+import pyarrow as pa
+
 import corpus_pipeline
 from tests.llm.conftest import SF
 from tests.llm.test_texts import ids_of
-from visitflow.llm.common import stored
+from visitflow.llm import decontaminate, language_id, packing
+from visitflow.llm.common import stored, text_slices
+from visitflow.llm.crf import train
 
 
 def test_stages(spark, documents):
@@ -41,3 +47,16 @@ def test_unlike_documents_with_null_or_shared_ids_stay(spark):
     assert kept.columns == list(corpus_pipeline.COLUMNS)
     wanted = [(None, texts[0]), (9, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (None, None)]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_slices_of_the_language_and_packing_stages_need_little_memory():
+    words = ["alpha", "beta", "gamma", "delta"]
+    model = train([words * 5], [[0, 1, 0, 1] * 5], ["x", "y"], epochs=1)
+    batch = pa.RecordBatch.from_pydict({"text": ["alpha beta gamma delta " * 100] * 4000})
+    tracemalloc.start()
+    for part in text_slices(iter([batch]), limit=language_id.SLICE):
+        language_id.label_texts(part.column("text"), model, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 9_000_000 and peak < 120 << 20
+    assert packing.SLICE <= 2 << 20 and decontaminate.SLICE <= 4 << 20

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.common import about, held_out, sums_by_list, text_slices, words_of
+from visitflow.llm.common import about, held_out, release_memory, sums_by_list, text_slices, words_of
 from visitflow.llm.crf import Crf, train
 
 SAMPLE_DOCS = 4000
-WINDOW, WINDOWS, SEQUENCES = 20, 3, 4000
+WINDOW, WINDOWS, SEQUENCES, SLICE = 20, 3, 4000, 2 << 20
 SEGMENTS = "segments array<struct<lang string, first int, words int>>"
 
 
@@ -77,11 +77,13 @@ def identify(
     schema = ", ".join(["doc_id long", "lang_pred string", "score double", *fields, *[SEGMENTS] * with_segments])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             found = label_texts(batch.column("text"), model, with_segments)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), found[0], found[1], *[batch.column(c) for c in kept], *found[2:]],
                 ["doc_id", "lang_pred", "score", *kept, *["segments"] * with_segments])
+        found = None
+        release_memory()
 
     return source.mapInArrow(run, schema)
 

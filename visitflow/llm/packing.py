@@ -28,7 +28,7 @@ from visitflow.llm.common import list_offsets, release_memory, text_slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CHUNK_TOKENS = 1 << 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 CACHE = 250_000
 
 
