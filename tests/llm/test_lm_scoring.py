@@ -186,3 +186,30 @@ def test_stages_from_all_windows_without_their_own_occurrence(spark):
 
     random = np.random.default_rng(5)
     assert all(loss(first.weights) < loss(first.weights + random.normal(0, 0.1, first.weights.shape)) for _ in range(5))
+
+
+def test_block_counted_by_cells_equals_bit_by_bit(reader):
+    random = np.random.default_rng(3)
+    odds = random.integers(-127, 128, (3000, M.ORDERS * 8)).astype(np.int8)
+    gates = random.integers(0, M.GATES, 3000)
+    mixed, levels = (p.view(np.uint8).reshape(-1, 8) for p in reader._second_inputs(odds, gates))
+    byte = random.integers(0, 256, 3000).astype(np.uint8)
+    bits, place = M._BITS[byte], np.arange(8)
+    own, second, wanted = reader.second.start(), reader.second.start(), 0.0
+    for part in (slice(0, 500), slice(500, 3000)):
+        # As defined, in double precision: one probability for each bit.
+        rate = own.ones / own.seen
+        x, refined = mixed[part].view(np.int8) / M.STEPS, np.log(rate / (1 - rate)).ravel()[levels[part]]
+        one = 1 / (1 + np.exp(-(x * own.weights[0] + refined * own.weights[1])))
+        wanted += np.log(np.maximum(np.where(bits[part] == 1, one, 1 - one), M.LEAST)).sum()
+        gradient = np.stack([((bits[part] - one) * x).sum(axis=0), ((bits[part] - one) * refined).sum(axis=0)])
+        own.squares = own.squares + gradient ** 2
+        own.weights = own.weights + own.RATE * gradient / np.sqrt(own.squares)
+        np.add.at(own.ones, (place, levels[part] % M.LEVELS), bits[part])
+        np.add.at(own.seen, (place, levels[part] % M.LEVELS), 1)
+    cells = reader._cells(byte, odds, gates)
+    found = sum(second.read_cells(cells[part].view(np.uint16)) for part in (slice(0, 500), slice(500, 3000)))
+    assert math.isclose(found, wanted, rel_tol=1e-7)
+    assert np.allclose(second.ones, own.ones) and np.allclose(second.seen, own.seen) and np.allclose(second.weights, own.weights)
+    # A block costs a number of counts that does not grow with its bytes.
+    assert len(M._CELLS) < 300

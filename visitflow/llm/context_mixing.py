@@ -51,11 +51,31 @@ GATES, LEVELS = 4, 25
 BLOCKS = (512, 4096)
 ROUNDS, CLOSE, PULL = 7, 0.05, 1.0
 FREQUENT, SHORT = 1 << 20, 64
-HELD_WINDOWS = 1 << 21
+HELD_WINDOWS, SENT_ROWS = 1 << 21, 1 << 16
 LEAST = np.float32(1e-5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ADD_ORDERS = np.tile(np.eye(8, dtype=np.float32), (ORDERS, 1))
 _BIT_LEVELS = np.arange(0, 8 * LEVELS, LEVELS, dtype=np.uint8)
+
+
+def _levels(z: np.ndarray) -> np.ndarray:
+    return ((z + 8) * np.float32(1.5) + np.float32(0.5)).astype(np.uint8)
+
+
+def _cells() -> np.ndarray:
+    """(cells, 2): level and first log odds (in ``STEPS``) that go together, by level; a log odds has two levels at most."""
+    mixed = np.arange(-126, 127)
+    ends = [_levels(np.clip((mixed + side) / STEPS, -7.9, 7.9)) for side in (-0.499, 0.499)]
+    return np.unique([(level, m) for side in ends for level, m in zip(side.tolist(), mixed.tolist(), strict=True)], axis=0)
+
+
+_CELLS = _cells()
+_CELL_LEVEL, _CELL_ODDS = _CELLS[:, 0], _CELLS[:, 1] / STEPS
+_LEVEL_STARTS = np.searchsorted(_CELL_LEVEL, np.arange(LEVELS))
+# The cell of a level and of log odds as an unsigned byte; pairs that can't occur lead outside the counts.
+_CELL_OF = np.full((LEVELS, 256), 1 << 14, np.uint16)
+_CELL_OF[_CELL_LEVEL, _CELLS[:, 1] % 256] = np.arange(len(_CELLS))
+_BIT_CELLS = np.arange(0, 8 * len(_CELLS), len(_CELLS), dtype=np.uint16)
 _BYTES = np.arange(256)
 _BITS = np.unpackbits(_BYTES.astype(np.uint8)[:, None], axis=1).astype(np.float32)
 # The node of a byte's bit: a one and the bits before it.
@@ -113,14 +133,15 @@ def window_counts(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.StructArray] = []
 
-        def added() -> pa.RecordBatch:
+        def added() -> Iterator[pa.RecordBatch]:
             table = pa.table({
                 "window": pa.concat_arrays([h.field("values") for h in held]),
                 "n": pa.concat_arrays([h.field("counts") for h in held])})
             table = table.group_by("window").aggregate([("n", "sum")]).combine_chunks()
             window = table["window"].combine_chunks()
-            return pa.RecordBatch.from_pydict({
+            out = pa.RecordBatch.from_pydict({
                 "context": pc.shift_right(window, 8), "window": window, "n": table["n_sum"].combine_chunks()})
+            yield from (out.slice(k, SENT_ROWS) for k in range(0, out.num_rows, SENT_ROWS))
 
         for batch in text_slices(batches):
             _, windows, ranges = byte_windows(batch.column("text"))
@@ -129,10 +150,10 @@ def window_counts(texts: DataFrame) -> DataFrame:
             n[found.field("values").to_numpy() == 0] -= ORDERS * len(ranges)
             held.append(pa.StructArray.from_arrays([found.field("values"), pa.array(n)], ["values", "counts"]))
             if sum(map(len, held)) > HELD_WINDOWS:
-                yield added()
+                yield from added()
                 held = []
         if held:
-            yield added()
+            yield from added()
         held.clear()
         release_memory()
 
@@ -306,24 +327,30 @@ class Second:
 
         ``mixed`` are the first mixer's log odds in ``STEPS``, ``levels`` the places of their bits and levels.
         """
+        return self.read_cells(bit_cells(mixed, levels, bits).ravel())
+
+    def read_cells(self, cells: np.ndarray) -> float:
+        """The same for the ``bit_cells`` of a block: bits of one cell have one probability, so they are counted."""
+        zeros, ones = np.bincount(cells, minlength=16 * len(_CELLS)).reshape(2, 8, -1).astype(float)
         rate = self.ones / self.seen
-        refined = np.log(rate / (1 - rate)).astype(np.float32).ravel().take(levels)
-        mixed = mixed.astype(np.float32)
-        mixed *= np.float32(1 / STEPS)
-        one = _logistic(mixed * self.weights[0] + refined * self.weights[1])
-        fair = np.maximum(np.abs(one + (bits - 1)), LEAST).ravel()
-        pairs = fair[0::2] * fair[1::2]
-        found = float(np.log((pairs[0::2] * pairs[1::2]).astype(float)).sum())
-
-        miss = (bits - one).T
-        gradient = np.stack([(miss @ mixed).diagonal(), (miss @ refined).diagonal()])
+        refined = np.log(rate / (1 - rate)).take(_CELL_LEVEL, axis=1)
+        one = _logistic(_CELL_ODDS * self.weights[0][:, None] + refined * self.weights[1][:, None])
+        found = np.vdot(zeros, np.log(np.maximum(1 - one, LEAST))) + np.vdot(ones, np.log(np.maximum(one, LEAST)))
+
+        seen = zeros + ones
+        miss = ones - seen * one
+        gradient = np.stack([miss @ _CELL_ODDS, np.einsum("ij,ij->i", miss, refined)])
         self.squares += gradient * gradient
-        self.weights += np.float32(self.RATE) * gradient / np.sqrt(self.squares)
-        both = levels + bits.astype(np.int16) * np.int16(8 * LEVELS)
-        zeros, ones = np.bincount(both.ravel(), minlength=16 * LEVELS).reshape(2, 8, LEVELS)
-        self.ones += ones
-        self.seen += zeros + ones
-        return found
+        self.weights += self.RATE * gradient / np.sqrt(self.squares)
+        self.ones += np.add.reduceat(ones, _LEVEL_STARTS, axis=1)
+        self.seen += np.add.reduceat(seen, _LEVEL_STARTS, axis=1)
+        return float(found)
+
+
+def bit_cells(mixed: np.ndarray, levels: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """(bytes, 8): a number for each bit's place, cell and value."""
+    cell = _CELL_OF.ravel().take((levels - _BIT_LEVELS).astype(np.intp) * 256 + mixed.view(np.uint8))
+    return cell + _BIT_CELLS + bits.astype(np.uint16) * np.uint16(8 * len(_CELLS))
 
 
 def _blocks(begin: int, end: int) -> Iterator[slice]:
@@ -353,11 +380,12 @@ class Reader:
         self.tables, self.first, self.second = tables, first or First.new(), second or Second.new()
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        data, windows, ranges = byte_windows(texts)
+        """Last bytes of the distinct windows, the texts' ranges, each place's window, log odds and gates of the windows."""
+        _, windows, ranges = byte_windows(texts)
         coded = pa.array(windows.view(np.int64)).dictionary_encode()
         distinct = coded.dictionary.to_numpy().view(np.uint64)
         odds = np.hstack([self.tables.take(order_slots(distinct, k)) for k in range(1, ORDERS + 1)])
-        return data, ranges, coded.indices.to_numpy(), odds, _gates(odds)
+        return (distinct & np.uint64(255)).astype(np.uint8), ranges, coded.indices.to_numpy(), odds, _gates(odds)
 
     def _second_inputs(self, odds: np.ndarray, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First log odds and levels of eight bits, packed in eight bytes each."""
@@ -366,22 +394,26 @@ class Reader:
             part = slice(at, at + (1 << 14))
             z = np.clip(self.first.mix(odds[part], gates[part]), -7.9, 7.9)
             mixed[part] = np.rint(z * np.float32(STEPS)).astype(np.int8).view(np.uint8)
-            levels[part] = ((z + 8) * np.float32(1.5) + np.float32(0.5)).astype(np.uint8) + _BIT_LEVELS
+            levels[part] = _levels(z) + _BIT_LEVELS
         return mixed.view(np.int64).ravel(), levels.view(np.int64).ravel()
 
-    def _read(self, second: Second, block: slice, data: np.ndarray, at: np.ndarray, packed: tuple) -> float:
-        mixed, levels = (p.take(at[block]) for p in packed)
-        return second.read(
-            mixed.view(np.int8).reshape(-1, 8), levels.view(np.uint8).reshape(-1, 8), _BITS.take(data[block], axis=0))
+    def _cells(self, byte: np.ndarray, odds: np.ndarray, gates: np.ndarray) -> np.ndarray:
+        """The ``bit_cells`` of windows, a window's eight numbers packed in one item of 16 bytes."""
+        mixed, levels = (p.view(np.uint8).reshape(-1, 8) for p in self._second_inputs(odds, gates))
+        cells = np.empty((len(odds), 8), np.uint16)
+        for at in range(0, len(odds), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            cells[part] = bit_cells(mixed[part], levels[part], _BITS.take(byte[part], axis=0))
+        return cells.view(np.complex128).ravel()
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """log10 of every text's probability."""
-        data, ranges, at, odds, gates = self._slice(texts)
-        packed = self._second_inputs(odds, gates)
-        total = np.zeros(len(ranges))
+        byte, ranges, at, odds, gates = self._slice(texts)
+        cells = self._cells(byte, odds, gates)
+        total, at = np.zeros(len(ranges)), at.astype(np.intp)
         for i, (begin, end) in enumerate(ranges.tolist()):
             second = self.second.start()
-            total[i] = sum(self._read(second, block, data, at, packed) for block in _blocks(begin, end))
+            total[i] = sum(second.read_cells(cells.take(at[b]).view(np.uint16)) for b in _blocks(begin, end))
         return total / math.log(10)
 
     def second_cells(self, odds: np.ndarray, gates: np.ndarray, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -391,11 +423,9 @@ class Reader:
         return np.bincount(cell.ravel(), np.repeat(n, 8), 8 * LEVELS * 512)
 
     def _distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        data, ranges, at, odds, gates = self._slice(texts)
+        byte, ranges, at, odds, gates = self._slice(texts)
         own = np.concatenate([np.arange(a, b) for a, b in ranges.tolist()])
-        n, byte = np.bincount(at[own], minlength=len(odds)), np.zeros(len(odds), np.uint8)
-        byte[at[own]] = data[own]
-        return odds, gates, _BITS.take(byte, axis=0), n
+        return odds, gates, _BITS.take(byte, axis=0), np.bincount(at[own], minlength=len(odds))
 
     def learn_first(self, texts: pa.Array) -> None:
         parts = self._distinct(texts)
