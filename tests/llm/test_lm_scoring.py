@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -213,3 +214,15 @@ def test_block_counted_by_cells_equals_bit_by_bit(reader):
     assert np.allclose(second.ones, own.ones) and np.allclose(second.seen, own.seen) and np.allclose(second.weights, own.weights)
     # A block costs a number of counts that does not grow with its bytes.
     assert len(M._CELLS) < 300
+
+
+def test_scoring_a_slice_needs_little_memory(reader):
+    random = np.random.default_rng(8)
+    letters = random.integers(97, 123, M.SCORED).astype(np.uint8).tobytes().decode()
+    texts = pa.array([letters[i:i + 4096] for i in range(0, len(letters), 4096)])
+    tracemalloc.start()
+    reader.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Besides Arrow's: a number a byte for its window and 16 bytes for each distinct window, but not their log odds.
+    assert peak < 40 * M.SCORED

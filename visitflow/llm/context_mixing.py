@@ -51,7 +51,7 @@ GATES, LEVELS = 4, 25
 BLOCKS = (512, 4096)
 ROUNDS, CLOSE, PULL = 7, 0.05, 1.0
 FREQUENT, SHORT = 1 << 20, 64
-HELD_WINDOWS, SENT_ROWS = 1 << 21, 1 << 16
+HELD_WINDOWS, SENT_ROWS, SCORED = 1 << 21, 1 << 16, 4 << 20
 LEAST = np.float32(1e-5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ADD_ORDERS = np.tile(np.eye(8, dtype=np.float32), (ORDERS, 1))
@@ -379,13 +379,14 @@ class Reader:
     def __init__(self, tables: np.ndarray, first: First | None = None, second: Second | None = None):
         self.tables, self.first, self.second = tables, first or First.new(), second or Second.new()
 
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Last bytes of the distinct windows, the texts' ranges, each place's window, log odds and gates of the windows."""
+    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct windows, the texts' ranges, and each place's window."""
         _, windows, ranges = byte_windows(texts)
         coded = pa.array(windows.view(np.int64)).dictionary_encode()
-        distinct = coded.dictionary.to_numpy().view(np.uint64)
-        odds = np.hstack([self.tables.take(order_slots(distinct, k)) for k in range(1, ORDERS + 1)])
-        return (distinct & np.uint64(255)).astype(np.uint8), ranges, coded.indices.to_numpy(), odds, _gates(odds)
+        return coded.dictionary.to_numpy().view(np.uint64), ranges, coded.indices.to_numpy()
+
+    def _odds(self, windows: np.ndarray) -> np.ndarray:
+        return np.hstack([self.tables.take(order_slots(windows, k)) for k in range(1, ORDERS + 1)])
 
     def _second_inputs(self, odds: np.ndarray, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First log odds and levels of eight bits, packed in eight bytes each."""
@@ -408,9 +409,14 @@ class Reader:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """log10 of every text's probability."""
-        byte, ranges, at, odds, gates = self._slice(texts)
-        cells = self._cells(byte, odds, gates)
-        total, at = np.zeros(len(ranges)), at.astype(np.intp)
+        distinct, ranges, at = self._coded(texts)
+        # Log odds are as wide as forty bytes a window, so few windows are looked up at once.
+        cells = np.empty(len(distinct), np.complex128)
+        for k in range(0, len(distinct), 1 << 14):
+            part = distinct[k:k + (1 << 14)]
+            odds = self._odds(part)
+            cells[k:k + (1 << 14)] = self._cells(part.astype(np.uint8), odds, _gates(odds))
+        total = np.zeros(len(ranges))
         for i, (begin, end) in enumerate(ranges.tolist()):
             second = self.second.start()
             total[i] = sum(second.read_cells(cells.take(at[b]).view(np.uint16)) for b in _blocks(begin, end))
@@ -423,9 +429,10 @@ class Reader:
         return np.bincount(cell.ravel(), np.repeat(n, 8), 8 * LEVELS * 512)
 
     def _distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        byte, ranges, at, odds, gates = self._slice(texts)
+        distinct, ranges, at = self._coded(texts)
+        odds = self._odds(distinct)
         own = np.concatenate([np.arange(a, b) for a, b in ranges.tolist()])
-        return odds, gates, _BITS.take(byte, axis=0), np.bincount(at[own], minlength=len(odds))
+        return odds, _gates(odds), _BITS.take(distinct.astype(np.uint8), axis=0), np.bincount(at[own], minlength=len(odds))
 
     def learn_first(self, texts: pa.Array) -> None:
         parts = self._distinct(texts)
@@ -543,7 +550,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         frequent = often.column("word").combine_chunks()
         counts = np.append(often.column("n_train").to_numpy(), 0)
         logs = np.log10(counts + 1.0)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SCORED):
             words, sizes = text_words(batch.column("text"))
             place = pc.fill_null(pc.index_in(words.dictionary, value_set=frequent), len(frequent)).to_numpy()
             index = words.indices.to_numpy(zero_copy_only=False)
