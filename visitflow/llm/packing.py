@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from visitflow.llm.common import list_offsets, release_memory, text_slices
+from visitflow.llm.common import list_offsets, release_memory, strings, text_slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CHUNK_TOKENS = 1 << 20
@@ -192,7 +192,7 @@ class WordEncoder:
     def plain_words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
         """Ids of plain ``words``, one after the other, and the number of each word's ids."""
         tokens = pa.array(self.pattern.findall("\n".join(words) + "\n"), pa.string()).dictionary_encode()
-        distinct = tokens.dictionary.to_pylist()
+        distinct = strings(tokens.dictionary)
         end = distinct.index("\n")
         ids = self.merged(distinct)
         index = tokens.indices.to_numpy()
@@ -213,9 +213,9 @@ class WordEncoder:
         is_plain = plain.to_numpy(zero_copy_only=False)
         sizes, parts = np.zeros(len(words), np.int64), []
         if is_plain.any():
-            found, sizes[is_plain] = self.plain_words(pc.utf8_lower(words.filter(plain)).to_pylist())
+            found, sizes[is_plain] = self.plain_words(strings(pc.utf8_lower(words.filter(plain))))
             parts.append(found)
-        other = [self.any_word(w) for w in words.filter(pc.invert(plain)).to_pylist()]
+        other = [self.any_word(w) for w in strings(words.filter(pc.invert(plain)))]
         sizes[~is_plain] = [len(x) // 4 for x in other]
         order = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
         begins = np.zeros(len(words), np.int64)
